@@ -1,0 +1 @@
+"""No streaming operator exists in the inventory: all corpora are batch."""
