@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 FAMILIES = (
     "manifest",
     "evaluation",
+    "evaluation",
     "axes",
     "elementwise",
     "series",
