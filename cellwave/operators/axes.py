@@ -226,9 +226,7 @@ def repeat(sig: Signal, axis: str, n: int) -> Signal:
     return sig.with_cells(sig.cells.select("*", copies), [*sig.axes, axis])
 
 
-def resize_axis(
-    sig: Signal, axis: str, length: int, crop: str = "left", center_pad: bool = False
-) -> Signal:
+def resize_axis(sig: Signal, axis: str, length: int, crop: str = "left") -> Signal:
     """Crop left or center, or zero-pad at the end; an absent axis changes nothing.
 
     Time coordinates of the padding continue at one sample period.
@@ -241,17 +239,13 @@ def resize_axis(
     start = F.lit(0).cast("bigint")
     if crop == "center":
         start = F.greatest(F.lit(0), F.floor((size - length) / F.lit(2)))
-    pad_left = F.greatest(F.lit(0), F.floor((F.lit(length) - size) / F.lit(2))) if center_pad else F.lit(0)
     cells = with_lengths(sig, axis)
     kept = cells.where((F.col(axis) >= start) & (F.col(axis) < start + length)).withColumn(
-        axis, F.col(axis).cast("bigint") - start + pad_left
+        axis, F.col(axis).cast("bigint") - start
     )
     # each series emits its own padding from its first cell
     short = cells.where((F.col(axis) == 0) & (size < length))
-    gaps = F.filter(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(length - 1).cast("bigint")),
-        lambda i: (i < pad_left) | (i >= pad_left + size),
-    )
+    gaps = F.sequence(size, F.lit(length - 1).cast("bigint"))
     pads = short.withColumn(axis, F.explode(gaps)).withColumns({p: F.lit(0.0) for p in sig.parts})
     columns = sig.cells.columns
     out = replace(sig.with_cells(kept.select(columns).unionByName(pads.select(columns))), coords=None)
