@@ -103,12 +103,12 @@ def bucketed_lag(
         F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carried"),
     )
     marked = rows.withColumn("_inside", F.row_number().over(inside)).withColumn(
-        "_prev", F.lag(value).over(inside)
+        "_lagged", F.lag(value).over(inside)
     )
     return (
         null_safe(marked, carried, [*keys, "_bucket"])
-        .withColumn(name, F.when(F.col("_inside") == 1, F.col("_carried")).otherwise(F.col("_prev")))
-        .drop("_bucket", "_inside", "_prev", "_carried")
+        .withColumn(name, F.when(F.col("_inside") == 1, F.col("_carried")).otherwise(F.col("_lagged")))
+        .drop("_bucket", "_inside", "_lagged", "_carried")
     )
 
 
@@ -149,11 +149,11 @@ def running_sum(
     )
 
 
-def lower_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Exact lower median of a positive column per key.
+def median(df: DataFrame, keys: list[str], value: str, name: str, average: bool = False) -> DataFrame:
+    """Exact lower (or averaging) median of a positive column per key.
 
-    Equal values collapse first, then cumulative bucket counts find the one
-    bucket that holds the median rank, so no key is sorted whole.
+    Equal values collapse first, then cumulative bucket counts find the bucket
+    that holds the middle rank, so no key is sorted whole.
     """
     counts = (
         df.groupBy(*keys, value)
@@ -163,20 +163,27 @@ def lower_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
     per_bucket = counts.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_size"))
     by_key = Window.partitionBy(*keys)
     upto = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum("_size").over(by_key)
+    ranks = [F.floor((total - 1) / 2)] + ([F.floor(total / 2)] if average else [])
     target = (
         per_bucket.withColumn("_upto", F.sum("_size").over(upto))
-        .withColumn("_rank", F.floor((F.sum("_size").over(by_key) - 1) / 2))
+        .withColumn("_ranks", F.array(*ranks))
+        .withColumn("_rank", F.explode("_ranks"))
         .where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_size")))
         .select(*keys, "_bucket", (F.col("_upto") - F.col("_size")).alias("_start"), "_rank")
     )
-    inside = by_key.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        null_safe(counts, target, [*keys, "_bucket"])
-        .withColumn("_cum", F.col("_start") + F.sum("_c").over(inside))
-        .where(F.col("_cum") > F.col("_rank"))
-        .groupBy(*keys)
-        .agg(F.min(value).alias(name))
+    # both middle ranks of one key may share a bucket
+    wanted = target.groupBy(*keys, "_bucket", "_start").agg(F.collect_list("_rank").alias("_ranks"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    cumulative = null_safe(counts, wanted, [*keys, "_bucket"]).withColumn(
+        "_cum", F.col("_start") + F.sum("_c").over(inside)
+    )
+    hits = cumulative.select(*keys, value, "_cum", "_c", F.explode("_ranks").alias("_rank")).where(
+        (F.col("_rank") < F.col("_cum")) & (F.col("_rank") >= F.col("_cum") - F.col("_c"))
     )
+    return hits.groupBy(*keys).agg(F.avg(value).alias(name))
 
 
 def joined_aggregate(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
