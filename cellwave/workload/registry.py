@@ -51,8 +51,6 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     for family in FAMILIES:
-        import os
-        if not os.path.exists(f"{os.path.dirname(__file__)}/{family}.py"): continue
         importlib.import_module(f"cellwave.workload.{family}")
 
 
