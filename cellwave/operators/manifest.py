@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from cellwave.operators.ordinal import bucketed_ordinal, global_ordinal
+from cellwave.operators.ordinal import first_rows_per_key, global_ordinal
 
 USER_FIELDS = ("user_id", "subject", "user")
 ROOM_FIELDS = ("room", "environment")
@@ -139,10 +139,11 @@ def split_mapping(
     kept = df.where(F.col(split).isin(*splits))
     if max_per_split is None:
         return kept
-    # bucketed counts keep a split with most of the rows out of one sort
     bucket = F.floor(F.col(pos) / F.lit(1 << 20)) if bucket is None else bucket
-    ranked = bucketed_ordinal(kept, [split], [pos], bucket, name="_rank")
-    return ranked.where(F.col("_rank") < max_per_split).drop("_rank")
+    capped = first_rows_per_key(
+        kept, [split], [pos], bucket, lambda n: F.least(n, F.lit(max_per_split)), "_first"
+    )
+    return capped.where("_first").drop("_first")
 
 
 def missing_splits(df: DataFrame, required: Sequence[str], split: str = "split") -> list[str]:

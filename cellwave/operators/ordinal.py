@@ -8,6 +8,7 @@ state between buckets through a small table of per-bucket totals.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,44 +60,97 @@ def global_ordinal(
     return pinned.withColumn(name, base + inside).drop("_row"), total
 
 
+HOT_ROWS = 1_000_000
+HOT_KEYS = 10_000
+
+
+def _hot_buckets(df: DataFrame, keys: list[str], bucket: Column, hot_rows: int) -> DataFrame:
+    """Add ``_bucket``: the bucket for keys with many rows, null for all others.
+
+    A key is hot above ``hot_rows`` and above 1/10000 of all rows, so there are
+    at most 10000 hot keys and the list is safe to broadcast.
+    """
+    if not keys:
+        return df.withColumn("_bucket", bucket)
+    floor = df.agg((F.count("*") / F.lit(HOT_KEYS)).alias("_floor")).scalar()
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_c"))
+    hot = counts.where(F.col("_c") > F.greatest(F.lit(float(hot_rows)), floor))
+    hot = hot.select(*keys, F.lit(True).alias("_hot"))
+    marked = null_safe(df, F.broadcast(hot), keys, "left")
+    return marked.withColumn("_bucket", F.when(F.col("_hot"), bucket)).drop("_hot")
+
+
 def bucketed_ordinal(
+    df: DataFrame, keys: list[str], order: list, bucket: Column, name: str = "pos", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Number rows 0..n-1 within each key.
+
+    ``bucket`` must not decrease along ``order``; it splits the sort of hot keys.
+    """
+    rows = _hot_buckets(df, keys, bucket, hot_rows)
+    sizes = rows.where(F.col("_bucket").isNotNull()).groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    numbered = null_safe(rows.withColumn("_inside", inside), starts, [*keys, "_bucket"], "left")
+    place = F.coalesce(F.col("_start"), F.lit(0)) + F.col("_inside") - 1
+    return numbered.withColumn(name, place).drop("_bucket", "_inside", "_start")
+
+
+def first_rows_per_key(
     df: DataFrame,
     keys: list[str],
-    order: list,
+    order: list[str],
     bucket: Column,
-    name: str = "pos",
-    count_name: str | None = None,
+    take: Callable[[Column], Column],
+    name: str,
+    max_keys: int = HOT_KEYS,
 ) -> DataFrame:
-    """Number rows 0..n-1 within each key; optionally add the key's row count.
+    """Mark the first ``take(n)`` rows of each key, n being the key's row count.
 
-    ``bucket`` must not decrease along ``order``.
+    Up to ``max_keys`` keys, rows are neither shuffled nor sorted: bucket counts
+    locate the one bucket per key that holds the last taken row, only that
+    bucket is ranked, and every row is compared with the row found there. More
+    keys than that are ranked with a window. The order columns must be a total
+    order and ``bucket`` must not decrease along it.
     """
+    spark = df.sparkSession
+    place = F.struct(*order)
     rows = df.withColumn("_bucket", bucket)
     sizes = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
     by_key = Window.partitionBy(*keys)
-    before = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        *keys,
-        "_bucket",
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
-        F.sum("_size").over(by_key).alias("_total"),
+    upto = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = sizes.select(
+        *keys, "_bucket", "_size", F.sum("_size").over(upto).alias("_upto"),
+        take(F.sum("_size").over(by_key)).alias("_take"),
     )
+    edges = edges.where((F.col("_take") <= F.col("_upto")) & (F.col("_take") > F.col("_upto") - F.col("_size")))
+    edges = edges.select(*keys, "_bucket", (F.col("_take") - F.col("_upto") + F.col("_size")).alias("_rank"))
+    found = edges.limit(max_keys + 1).collect()
+    if len(found) > max_keys:
+        totals = df.groupBy(*keys).agg(take(F.count("*")).alias("_take"))
+        ranked = null_safe(bucketed_ordinal(df, keys, order, bucket, "_rank"), totals, keys)
+        return ranked.withColumn(name, F.col("_rank") < F.col("_take")).drop("_rank", "_take")
+    # one row per key from here on, at most max_keys
+    edges = spark.createDataFrame(found, edges.schema)
     inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
-    numbered = null_safe(
-        rows.withColumn("_inside", inside), starts, [*keys, "_bucket"]
-    ).withColumn(name, F.col("_start") + F.col("_inside") - 1)
-    if count_name:
-        numbered = numbered.withColumn(count_name, F.col("_total"))
-    return numbered.drop("_bucket", "_inside", "_start", "_total")
+    narrow = rows.select(*dict.fromkeys([*keys, *order]), "_bucket")
+    near = null_safe(narrow, F.broadcast(edges), [*keys, "_bucket"])
+    last = near.withColumn("_inside", inside).where(F.col("_inside") == F.col("_rank"))
+    last = last.select(*keys, place.alias("_last"))
+    marked = null_safe(df, F.broadcast(last), keys, "left")
+    return marked.withColumn(name, F.coalesce(place <= F.col("_last"), F.lit(False))).drop("_last")
 
 
 def bucketed_lag(
-    df: DataFrame, keys: list[str], order: str, bucket: Column, value: str, name: str
+    df: DataFrame, keys: list[str], order: str, bucket: Column, value: str, name: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Previous row's value within each key, across bucket borders."""
-    rows = df.withColumn("_bucket", bucket)
+    """Previous row's value within each key; hot keys carry it across bucket borders."""
+    rows = _hot_buckets(df, keys, bucket, hot_rows)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
-    last = rows.groupBy(*keys, "_bucket").agg(F.max_by(value, order).alias("_last"))
+    last = rows.where(F.col("_bucket").isNotNull()).groupBy(*keys, "_bucket").agg(
+        F.max_by(value, order).alias("_last")
+    )
     carried = last.select(
         *keys,
         "_bucket",
@@ -106,7 +160,7 @@ def bucketed_lag(
         "_lagged", F.lag(value).over(inside)
     )
     return (
-        null_safe(marked, carried, [*keys, "_bucket"])
+        null_safe(marked, carried, [*keys, "_bucket"], "left")
         .withColumn(name, F.when(F.col("_inside") == 1, F.col("_carried")).otherwise(F.col("_lagged")))
         .drop("_bucket", "_inside", "_lagged", "_carried")
     )

@@ -14,11 +14,11 @@ from cellwave.operators.ordinal import bucketed_ordinal, running_sum
 def shuffled_order(df: DataFrame, sample: str, seed: int, name: str = "order") -> DataFrame:
     """Position of every row in one seeded shuffle.
 
-    Hash prefixes cut the order into 4096 even ranges that sort in parallel.
+    Hash prefixes cut the order into 65536 even ranges that sort in parallel.
     """
     hashed = df.withColumn("_hash", shuffle_key(sample, seed))
     return bucketed_ordinal(
-        hashed, [], ["_hash", sample], F.substring("_hash", 1, 3), name
+        hashed, [], ["_hash", sample], F.substring("_hash", 1, 4), name
     ).drop("_hash")
 
 

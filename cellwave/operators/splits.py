@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cellwave.functions.columns import half_even, shuffle_key
 from cellwave.operators.manifest import annotate_split
-from cellwave.operators.ordinal import bucketed_ordinal, global_ordinal
+from cellwave.operators.ordinal import first_rows_per_key, global_ordinal
 
 
 def _check_ratio(ratio: float) -> None:
@@ -126,19 +126,23 @@ def sorted_group_partition(
     return df.join(sides, df[group].eqNullSafe(sides["_g"])).drop("_g")
 
 
-def _ranked(df: DataFrame, label: str, sample: str, seed: int, tag: str) -> DataFrame:
-    """Shuffled rank ``_ord`` and row count ``_n`` within each label."""
+def _take_by_label(
+    df: DataFrame, label: str, sample: str, seed: int, tag: str, take, name: str, pool: Sequence[str] = ()
+) -> DataFrame:
+    """Mark the first ``take(n)`` rows of every label in shuffled order."""
     hashed = df.withColumn("_hash", shuffle_key(sample, seed, tag))
-    # the hash prefix splits a dominant label over 256 tasks
-    return bucketed_ordinal(
-        hashed, [label], ["_hash", sample], F.substring("_hash", 1, 2), "_ord", "_n"
+    # the hash prefix cuts a dominant label into 4096 even buckets
+    return first_rows_per_key(
+        hashed, [*pool, label], ["_hash", sample], F.substring("_hash", 1, 3), take, name
     ).drop("_hash")
 
 
-def _train_count(ratio: float) -> Column:
-    n = F.col("_n")
-    cut = F.greatest(F.lit(1), F.least(n - 1, half_even(n * F.lit(float(ratio)))))
-    return F.when(n == 1, F.lit(1)).otherwise(cut)
+def _train_count(ratio: float):
+    def take(n: Column) -> Column:
+        cut = F.greatest(F.lit(1), F.least(n - 1, half_even(n * F.lit(float(ratio)))))
+        return F.when(n == 1, F.lit(1)).otherwise(cut)
+
+    return take
 
 
 def stratified_train_val(
@@ -148,24 +152,32 @@ def stratified_train_val(
     seed: int,
     sample: str = "sample_id",
     ensure_val: bool = False,
+    held: Column | None = None,
 ) -> DataFrame:
     """Per-label shuffled cut; a single-sample label stays in train.
 
     ``ensure_val`` moves the row of the largest label value to val when every
     label has one sample, so that val is never empty for two rows or more.
+    Rows where ``held`` gives a name take that split and do not count.
     """
     if not ensure_val:
         _check_ratio(ratio)
-    ranked = _ranked(df, label, sample, seed, "")
-    is_train = F.col("_ord") < _train_count(ratio)
+    rows = df if held is None else df.withColumn("_held", held)
+    pool = [] if held is None else ["_held"]
+    marked = _take_by_label(rows, label, sample, seed, "", _train_count(ratio), "_train", pool)
+    is_train = F.col("_train")
     if ensure_val:
-        sizes = df.groupBy(label).agg(F.count("*").alias("_c"))
+        free = rows if held is None else rows.where(F.col("_held").isNull())
+        sizes = free.groupBy(label).agg(F.count("*").alias("_c"))
         # null unless every label is single and there are two rows or more
         moved = sizes.agg(
             F.when((F.max("_c") == 1) & (F.sum("_c") > 1), F.max(label)).alias("_moved")
         ).scalar()
         is_train = is_train & ~F.col(label).eqNullSafe(moved)
-    return ranked.withColumn("split", F.when(is_train, "train").otherwise("val")).drop("_ord", "_n")
+    split = F.when(is_train, "train").otherwise("val")
+    if held is not None:
+        split = F.coalesce(F.col("_held"), split)
+    return marked.withColumn("split", split).drop("_train", "_held")
 
 
 def stratified_trainval_test(
@@ -182,10 +194,12 @@ def stratified_trainval_test(
         raise ValueError(f"test_ratio must be in [0, 1), got {test_ratio}")
     if test_ratio == 0.0:
         return df.withColumn("split", F.lit("trainval"))
-    ranked = _ranked(df, label, sample, seed, "test")
-    n = F.col("_n")
-    proposed = F.greatest(F.lit(1), F.least(n - 2, half_even(n * F.lit(float(test_ratio)))))
-    is_test = (n >= 3) & (F.col("_ord") < proposed)
+
+    def take(n: Column) -> Column:
+        proposed = F.greatest(F.lit(1), F.least(n - 2, half_even(n * F.lit(float(test_ratio)))))
+        return F.when(n >= 3, proposed).otherwise(F.lit(0))
+
+    marked = _take_by_label(df, label, sample, seed, "test", take, "_test")
     sizes = df.groupBy(label).agg(F.count("*").alias("_c"), F.min(pos).alias("_first"))
     moved = sizes.agg(
         F.when(
@@ -193,10 +207,8 @@ def stratified_trainval_test(
             F.min_by("_first", F.struct(-F.col("_c"), F.col(label))),
         ).alias("_moved")
     ).scalar()
-    is_test = is_test | F.coalesce(F.col(pos) == moved, F.lit(False))
-    return ranked.withColumn("split", F.when(is_test, "test").otherwise("trainval")).drop(
-        "_ord", "_n"
-    )
+    is_test = F.col("_test") | F.coalesce(F.col(pos) == moved, F.lit(False))
+    return marked.withColumn("split", F.when(is_test, "test").otherwise("trainval")).drop("_test")
 
 
 def declared_split(
@@ -241,12 +253,9 @@ def source_split(
 
 
 def _carve_val(placed, label, ratio, seed, sample, scheme) -> DataFrame:
-    pool = stratified_train_val(
-        placed.where(F.col("_declared") == "train"), label, ratio, seed, sample
-    )
-    kept = placed.where(F.col("_declared") != "train").withColumn("split", F.col("_declared"))
-    merged = pool.unionByName(kept).drop("_declared")
-    return annotate_split(merged, F.col("split"), split_scheme=scheme)
+    held = F.when(F.col("_declared") != "train", F.col("_declared"))
+    carved = stratified_train_val(placed, label, ratio, seed, sample, held=held).drop("_declared")
+    return annotate_split(carved, F.col("split"), split_scheme=scheme)
 
 
 def metadata_split(
@@ -284,10 +293,8 @@ def dataset_from_samples(
     from cellwave.operators.labels import encode_first_appearance
 
     encoded = encode_first_appearance(df, target, pos)
+    held = None
     if test_ratio:
-        staged = stratified_trainval_test(encoded, "label", test_ratio, seed, sample, pos)
-    else:
-        staged = encoded.withColumn("split", F.lit("trainval"))
-    pool = staged.where(F.col("split") == "trainval").drop("split")
-    parts = stratified_train_val(pool, "label", train_ratio, seed, sample, ensure_val=True)
-    return parts.unionByName(staged.where(F.col("split") == "test"))
+        encoded = stratified_trainval_test(encoded, "label", test_ratio, seed, sample, pos)
+        held = F.when(F.col("split") == "test", F.col("split"))
+    return stratified_train_val(encoded, "label", train_ratio, seed, sample, ensure_val=True, held=held)

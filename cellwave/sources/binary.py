@@ -135,14 +135,17 @@ def decode_ranges(ranges: DataFrame, framing: Framing, parse: Callable, schema:
 
     def run(batches):
         for batch in batches:
-            for r in batch.itertuples():
-                with open(_local(r.path), "rb") as f:
+            yield from _in_batches(rows(batch), schema)
 
-                    def read(at, n, f=f):
-                        f.seek(at)
-                        return f.read(n)
+    def rows(batch):
+        for r in batch.itertuples():
+            with open(_local(r.path), "rb") as f:
+
+                def read(at, n, f=f):
+                    f.seek(at)
+                    return f.read(n)
 
-                    yield from _in_batches(_decode(framing, parse, read, r.path, r.start, r.end, r.first_idx), schema)
+                yield from _decode(framing, parse, read, r.path, r.start, r.end, r.first_idx)
 
     return ranges.repartition(F.col("path"), F.col("start")).mapInPandas(run, schema)
 
@@ -152,10 +155,16 @@ def decode_files(files: DataFrame, framing: Framing, parse: Callable, schema: st
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                data = bytes(content)
-                read = lambda at, n, d=data: d[at : at + n]
-                yield from _in_batches(_decode(framing, parse, read, path, framing.skip, len(data), 0), schema)
+            yield from _in_batches(rows(batch), schema)
+
+    def rows(batch):
+        for path, content in zip(batch["path"], batch["content"]):
+            data = bytes(content)
+
+            def read(at, n, data=data):
+                return data[at : at + n]
+
+            yield from _decode(framing, parse, read, path, framing.skip, len(data), 0)
 
     return files.select("path", "content").mapInPandas(run, schema)
 

@@ -23,7 +23,8 @@ ITEMS_SQL = f"""c AS (SELECT l_orderkey AS sample_id,
 def lineitem_signal(t) -> Signal:
     """Order lines as a ragged series; the bucket keeps a huge order splittable."""
     rows = t.lineitem.select(F.col("l_orderkey").alias(KEY), *ITEM_ORDER)
-    numbered = bucketed_ordinal(rows, [KEY], ITEM_ORDER, F.col("l_linenumber"), "point")
+    bucket = F.col("l_linenumber") * (1 << 40) + F.floor(F.col("l_partkey") / 1024)
+    numbered = bucketed_ordinal(rows, [KEY], ITEM_ORDER, bucket, "point")
     return Signal(numbered.select(KEY, "point", F.col("l_quantity").alias("value")), ("point",))
 
 

@@ -16,9 +16,9 @@ EVENT_SERIES_SQL = """e AS (SELECT user_id AS sample_id, row_number() OVER (PART
 
 
 def event_series(t) -> Signal:
-    """Event values per user in time order; day buckets keep a hot user splittable."""
+    """Event values per user in time order; quarter-hour buckets keep a hot user splittable."""
     rows = t.events.select(F.col("user_id").alias(KEY), seconds("ts").alias("_ts"), "value", "event_id", "event_type")
-    numbered = ordinal.bucketed_ordinal(rows, [KEY], ["_ts"], F.floor(F.col("_ts") / 86400), "time")
+    numbered = ordinal.bucketed_ordinal(rows, [KEY], ["_ts"], F.floor(F.col("_ts") / 900), "time")
     return Signal(numbered, ("time",))
 
 
