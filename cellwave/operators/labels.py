@@ -25,7 +25,7 @@ def encode_sorted(
     """Add ``label`` by sorted unique value; an explicit map wins."""
     if mapping:
         pairs = [p for k, v in mapping.items() for p in (F.lit(k), F.lit(int(v)))]
-        code = F.create_map(*pairs).getItem(F.col(target)).cast("bigint")
+        code = F.create_map(*pairs)[F.col(target)].cast("bigint")
         return df.withColumn("label", code)
     codes, _ = global_ordinal(df.select(target).distinct(), [target], name="label")
     return df.join(codes, on=target)
