@@ -385,17 +385,24 @@ def frame_groups(
     """
     sig.require(axis)
     rows = with_lengths(sig, axis, sizes=sizes)
-    f, last = F.col(axis), F.col(f"_len_{axis}") - 1
-    targets = F.sequence(F.greatest(F.lit(0), f - group), F.least(last, f + group))
+    f, last, half = F.col(axis).cast("bigint"), F.col(f"_len_{axis}") - 1, group // 2
+    slots = F.sequence(F.lit(0).cast("bigint"), F.lit(group - 1).cast("bigint"))
 
-    def uses(t: Column) -> Column:
-        slots = F.filter(
-            F.sequence(F.lit(0), F.lit(group - 1)),
-            lambda g: F.greatest(F.lit(0), F.least(last, t - group // 2 + g)) == f,
-        )
-        return F.transform(slots, lambda g: F.struct(t.alias("t"), g.cast("bigint").alias("g")))
+    def use(t: Column, g: Column) -> Column:
+        return F.struct(t.alias("t"), g.alias("g"))
 
-    rows = rows.withColumn("_use", F.explode(F.flatten(F.transform(targets, uses))))
+    inner = F.filter(F.transform(slots, lambda g: use(f + half - g, g)), lambda u: (u["t"] >= 0) & (u["t"] <= last))
+
+    def beyond(targets: Column, outside) -> Column:
+        """Slots of the targets near an end that would leave the scene there."""
+        pairs = F.flatten(F.transform(targets, lambda t: F.transform(slots, lambda g: use(t, g))))
+        return F.filter(pairs, lambda u: outside(u["t"] - half + u["g"]))
+
+    none = F.array().cast("array<struct<t:bigint,g:bigint>>")
+    head = beyond(F.sequence(F.lit(0).cast("bigint"), F.least(last, F.lit(group).cast("bigint"))), lambda p: p < 0)
+    tail = beyond(F.sequence(F.greatest(F.lit(0).cast("bigint"), last - group), last), lambda p: p > last)
+    uses = F.concat(inner, F.when(f == 0, head).otherwise(none), F.when(f == last, tail).otherwise(none))
+    rows = rows.withColumn("_use", F.explode(uses))
     out = rows.withColumns({axis: F.col("_use.t"), "group": F.col("_use.g")})
     at = sig.axes.index(axis) + 1
     return sig.with_cells(out, [*sig.axes[:at], "group", *sig.axes[at:]])

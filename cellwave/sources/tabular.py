@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +74,7 @@ def csv_csi_problems(raw: DataFrame) -> DataFrame:
 
 
 def list_captures(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """File listing ``(path, name, length)``; contents are never read."""
+    """File listing ``(path, name, length)``; contents are never read, empty files are skipped."""
     listing = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
@@ -83,6 +85,29 @@ def list_captures(spark: SparkSession, path: str, glob: str = "*", recursive: bo
     return listing.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "modificationTime")
 
 
+def walk_captures(spark: SparkSession, path: str) -> DataFrame:
+    """File listing ``(path, name, length)`` that keeps empty files.
+
+    Spark's file sources skip files of length zero, which audits must see. The
+    first directory level is listed here, tasks walk the rest; needs a file
+    system the workers can open.
+    """
+    root = path.removeprefix("file:")
+    tops = sorted(e.path for e in os.scandir(root))
+    seeds = spark.createDataFrame([(t,) for t in tops], "top string")
+
+    def walk(batches):
+        for batch in batches:
+            found = []
+            for top in batch["top"]:
+                inner = ((d, n) for d, _, names in os.walk(top) for n in names)
+                files = [os.path.join(d, n) for d, n in inner] if os.path.isdir(top) else [top]
+                found += [(f, os.path.basename(f), os.path.getsize(f)) for f in files]
+            yield pd.DataFrame(found, columns=["path", "name", "length"])
+
+    return seeds.repartition("top").mapInPandas(walk, "path string, name string, length bigint")
+
+
 def parse_capture_names(listing: DataFrame, name: str = "name") -> DataFrame:
     """Fields of ``userU-G-O-T-rR`` (canonical) or six-token (capture) names.
 
