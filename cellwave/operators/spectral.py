@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cellwave.functions.columns import SPEED_OF_SOUND
 from cellwave.functions.kernels import array_kernel, gaussian_window, periodic_window
 from cellwave.model import KEY, Signal
-from cellwave.operators.axes import pack_series, with_lengths
+from cellwave.operators.axes import axis_lengths, pack_series, with_lengths
 from cellwave.operators.ordinal import joined_aggregate, with_halo
 
 
@@ -399,3 +399,126 @@ def fmcw_demod(
         return np.fft.fft(x * np.conj(chirp) * shape, n=n_fft or n, axis=1)
 
     return map_series(sig, axis, kernel, "range")
+
+
+def _largest_low_divisor(n: Column) -> Column:
+    """The largest divisor of n up to its square root."""
+    low = F.sequence(F.lit(1).cast("bigint"), F.floor(F.sqrt(n)))
+    return F.array_max(F.filter(low, lambda d: n % d == 0))
+
+
+def _turned(angle: Column) -> list[Column]:
+    """(re, im) multiplied by exp(i * angle)."""
+    c, s = F.cos(angle), F.sin(angle)
+    return [(F.col("re") * c - F.col("im") * s).alias("re"), (F.col("re") * s + F.col("im") * c).alias("im")]
+
+
+def _four_step(cells: DataFrame, keys: list[str], axis: str, sign: int) -> DataFrame:
+    """Unscaled DFT of ``(keys, _n, _n1, axis, re, im)`` in groups of _n1 and _n/_n1 cells."""
+    names = [*keys, "_n", "_n1"]
+    n2 = (F.col("_n") / F.col("_n1")).cast("bigint")
+
+    def transform(x):
+        return np.fft.fft(x, axis=1) if sign < 0 else np.fft.ifft(x, axis=1) * x.shape[1]
+
+    def columns(df: DataFrame, group: str, index: str, out: str) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct(index, "re", "im")))
+        packed = df.groupBy(*names, group).agg(rows.alias("_rows")).select(
+            *names, group, F.col("_rows.re").alias("re"), F.col("_rows.im").alias("im")
+        )
+        done = packed.withColumn("_y", array_kernel(transform, ["re", "im"]))
+        return _exploded(done, [*names, group], out, False)
+
+    split = cells.select(
+        *names, F.pmod(F.col(axis), n2).alias("_j2"), F.floor(F.col(axis) / n2).alias("_j1"), "re", "im"
+    )
+    inner = columns(split, "_j2", "_j1", "_k1")
+    twisted = inner.select(*names, "_j2", "_k1", *_turned(sign * 2.0 * math.pi * F.col("_j2") * F.col("_k1") / F.col("_n")))
+    outer = columns(twisted, "_k1", "_j2", "_k2")
+    return outer.select(*names, (F.col("_k1") + F.col("_n1") * F.col("_k2")).alias(axis), "re", "im")
+
+
+def _chirp_angle(index: Column) -> Column:
+    """pi * index^2 / n with the square reduced first, which keeps it exact."""
+    return math.pi * ((index * index) % (2 * F.col("_n"))) / F.col("_n")
+
+
+def _chirp_transform(
+    cells: DataFrame, lengths: DataFrame, keys: list[str], axis: str, sign: int
+) -> DataFrame:
+    """DFT of any length as a convolution with a chirp, on a power-of-two grid."""
+    i, n = F.col(axis), F.col("_n")
+    grid = F.pow(F.lit(2.0), F.ceil(F.log2(2 * n - 1))).cast("bigint")
+    half = F.pow(F.lit(2.0), F.floor(F.ceil(F.log2(2 * n - 1)) / 2)).cast("bigint")
+    lengths = lengths.select("_n").distinct().withColumns({"_m": grid, "_m1": half})
+    sized = cells.withColumns({"_m": grid, "_m1": half})
+
+    def on_grid(df: DataFrame, names: list[str]) -> DataFrame:
+        return df.select(*names, F.col("_n").alias("_len"), F.col("_m").alias("_n"), F.col("_m1").alias("_n1"), axis, "re", "im")
+
+    names = [*keys, "_n", "_m", "_m1"]
+    mixed = sized.select(*names, axis, *_turned(sign * _chirp_angle(i)))
+    # zeros up to the grid size, spread over the cells of the series
+    step = F.floor((F.col("_m") - n) / n) + 1
+    zeros = F.sequence(n + i * step, F.least(n + (i + 1) * step, F.col("_m")) - 1)
+    start = n + i * step
+    pads = sized.where(start < F.col("_m")).select(
+        *names, F.explode(zeros).alias(axis), F.lit(0.0).alias("re"), F.lit(0.0).alias("im")
+    )
+    spectrum = _four_step(on_grid(mixed.unionByName(pads), keys), [*keys, "_len"], axis, -1)
+    places = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_m") - 1)).alias(axis)
+    near = F.least(i, F.col("_m") - i)
+    angle = -sign * _chirp_angle(near)
+    chirp = lengths.select("_n", "_m", "_m1", places).select(
+        "_n", "_m", "_m1", axis,
+        F.when(near < n, F.cos(angle)).otherwise(0.0).alias("re"), F.when(near < n, F.sin(angle)).otherwise(0.0).alias("im"),
+    )
+    response = _four_step(on_grid(chirp, []), ["_len"], axis, -1).select(
+        "_len", axis, F.col("re").alias("_cr"), F.col("im").alias("_ci")
+    )
+    joined = spectrum.join(response, on=["_len", axis])
+    product = joined.select(
+        *keys, "_len", "_n", "_n1", axis,
+        (F.col("re") * F.col("_cr") - F.col("im") * F.col("_ci")).alias("re"),
+        (F.col("re") * F.col("_ci") + F.col("im") * F.col("_cr")).alias("im"),
+    )
+    back = _four_step(product, [*keys, "_len"], axis, 1).where(i < F.col("_len"))
+    scaled = back.select(
+        *keys, F.col("_len").alias("_n"), axis,
+        (F.col("re") / F.col("_n")).alias("re"), (F.col("im") / F.col("_n")).alias("im"),
+    )
+    return scaled.select(*keys, "_n", axis, *_turned(sign * _chirp_angle(i)))
+
+
+def fft_long(
+    sig: Signal, axis: str = "time", norm: str = "ortho", new_axis: str = "freq", inverse: bool = False,
+    max_group: int = 1 << 16, sizes: dict[str, int] | None = None,
+) -> Signal:
+    """DFT along an axis as long as a capture.
+
+    The four-step form needs two exchanges whose groups hold about sqrt(n)
+    cells; lengths without a fitting divisor go through a chirp convolution.
+    """
+    sig.require(axis)
+    sign = 1 if inverse else -1
+    keys = sig.keys(axis)
+    parts = ["re", "im"] if sig.is_complex else [F.col("value").alias("re"), F.lit(0.0).alias("im")]
+    if sizes and axis in sizes:
+        lengths = sig.cells.select(KEY).distinct().withColumn("_n", F.lit(sizes[axis]).cast("bigint"))
+    else:
+        lengths = axis_lengths(sig, axis).select(KEY, F.col(f"_len_{axis}").alias("_n"))
+    lengths = lengths.withColumn("_n1", _largest_low_divisor(F.col("_n")))
+    fits = F.col("_n") / F.col("_n1") <= max_group
+    cells = sig.cells.join(lengths, on=KEY).select(*keys, F.col(axis).cast("bigint").alias(axis), "_n", "_n1", *parts)
+    done = _four_step(cells.where(fits), keys, axis, sign).drop("_n1").unionByName(
+        _chirp_transform(cells.where(~fits).drop("_n1"), lengths.where(~fits), keys, axis, sign)
+    )
+    root = F.sqrt(F.col("_n").cast("double"))
+    forward = {"ortho": 1.0 / root, "forward": 1.0 / F.col("_n"), "backward": F.lit(1.0)}
+    backward = {"ortho": 1.0 / root, "forward": F.lit(1.0), "backward": 1.0 / F.col("_n")}
+    scale = (backward if inverse else forward)[norm]
+    names = [new_axis if a == axis else a for a in sig.axes]
+    out = done.select(
+        *keys, F.col(axis).alias(new_axis), (F.col("re") * scale).alias("re"), (F.col("im") * scale).alias("im")
+    )
+    return replace(sig.with_cells(out, names), coords=None)

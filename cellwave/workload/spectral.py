@@ -233,3 +233,11 @@ def _(t):
         (F.round(radar.doppler_coordinate(k, 8, F.col("center_freq"), F.lit(1e-4)), 6) + F.lit(0.0)).alias("velocity"),
         (F.round(radar.angle_coordinate(k, 8), 6) + F.lit(0.0)).alias("angle_deg"),
     )
+
+
+@query("fft_long", f"""WITH {EVENT_SERIES_SQL}, n AS (SELECT sample_id, count(*) AS n FROM e GROUP BY 1),
+ d AS (SELECT sample_id, k, sum(value * cos(2 * pi() * ((k * time) % n) / n)) AS re, -sum(value * sin(2 * pi() * ((k * time) % n) / n)) AS im
+  FROM e JOIN n USING (sample_id) JOIN range(200) q(k) ON k < n GROUP BY 1, 2, n)
+SELECT sample_id, k AS freq, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM d""")
+def _(t):
+    return rounded(spectral.fft_long(event_series(t), norm="backward", max_group=16), 4)

@@ -385,3 +385,13 @@ def test_missing_axis_is_an_error(spark):
         series.phase_calibration(sig)
     with pytest.raises(ValueError, match="complex"):
         normalize.magnitude(normalize.magnitude(sig))
+
+
+@pytest.mark.parametrize("max_group", [8, 1 << 16])
+def test_long_fft(spark, max_group):
+    x = [noise(n, 2) for n in (1, 2, 12, 37, 64, 94)]
+    sig = to_signal(spark, x, ["time", "rx"])
+    freq = spectral.fft_long(sig, max_group=max_group)
+    check(freq, [np.fft.fft(a, axis=0, norm="ortho") for a in x])
+    back = spectral.fft_long(sig, norm="backward", inverse=True, max_group=max_group)
+    check(back, [np.fft.ifft(a, axis=0) for a in x])
