@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass, replace
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +17,15 @@ class Signal:
 
     ``samples`` holds one metadata row per sample, ``coords`` one row per
     ``(sample_id, axis, idx)``. Index columns start at 0 and are dense.
+    ``sizes`` declares axis lengths that are the same in every sample; an axis
+    without one is measured per sample where an operator needs its length.
     """
 
     cells: DataFrame
     axes: tuple[str, ...]
     samples: DataFrame | None = None
     coords: DataFrame | None = None
+    sizes: Mapping[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         names = set(self.cells.columns)
@@ -59,10 +62,15 @@ class Signal:
         if kind == "real" and self.is_complex:
             raise ValueError("operator needs real cells (value)")
 
-    def with_cells(self, cells: DataFrame, axes: Iterable[str] | None = None) -> Signal:
+    def with_cells(
+        self, cells: DataFrame, axes: Iterable[str] | None = None, sizes: Mapping[str, int | None] | None = None
+    ) -> Signal:
+        """New cells; axes that stay keep their declared size unless ``sizes`` says otherwise."""
         axes = tuple(self.axes if axes is None else axes)
         parts = ["re", "im"] if "re" in cells.columns else ["value"]
-        return replace(self, cells=cells.select(KEY, *axes, *parts), axes=axes)
+        known = {**self.sizes, **(sizes or {})}
+        kept = {a: n for a, n in known.items() if a in axes and n is not None}
+        return replace(self, cells=cells.select(KEY, *axes, *parts), axes=axes, sizes=kept)
 
     def with_parts(self, **exprs: Column) -> Signal:
         """Replace the value columns by expressions, keeping the axes."""

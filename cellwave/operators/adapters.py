@@ -155,13 +155,14 @@ def auto_align(
     names = [f"_to_{a}" for a in contract.axes]
     for target, members in zip(names, groups):
         if len(members) == 1:
-            out = out.with_cells(
-                out.cells.withColumnRenamed(members[0], target), [target if a == members[0] else a for a in out.axes]
-            )
+            names_now = [target if a == members[0] else a for a in out.axes]
+            known = {target: out.sizes.get(members[0])}
+            out = out.with_cells(out.cells.withColumnRenamed(members[0], target), names_now, known)
         else:
             out = merge_axes(out, members, target, sizes)
     cells = out.cells.withColumnsRenamed(dict(zip(names, contract.axes)))
-    return replace(out.with_cells(cells, [*lead, *contract.axes]), coords=None)
+    known = {a: out.sizes.get(n) for n, a in zip(names, contract.axes)}
+    return replace(out.with_cells(cells, [*lead, *contract.axes], known), coords=None)
 
 
 def contract_problems(sig: Signal, contract: InputContract) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 from dataclasses import replace
@@ -23,7 +24,7 @@ def axis_lengths(sig: Signal, *axes: str) -> DataFrame:
 
 def with_lengths(sig: Signal, *axes: str, sizes: dict[str, int] | None = None) -> DataFrame:
     """Cells with axis lengths, taken from ``sizes`` where the caller knows them."""
-    sizes = sizes or {}
+    sizes = {**sig.sizes, **(sizes or {})}
     unknown = [a for a in axes if a not in sizes]
     cells = sig.cells.join(axis_lengths(sig, *unknown), on=KEY) if unknown else sig.cells
     return cells.withColumns({f"_len_{a}": F.lit(sizes[a]).cast("bigint") for a in axes if a in sizes})
@@ -49,7 +50,17 @@ def select_index(sig: Signal, **picks: int | slice) -> Signal:
     return sig
 
 
+def _from_start(pick: int | slice, size: int) -> int | slice:
+    """Negative bounds of a known axis length as plain ones."""
+    if isinstance(pick, int):
+        return pick + size if pick < 0 else pick
+    at = [e if e is None or e >= 0 else max(e + size, 0) for e in (pick.start, pick.stop)]
+    return slice(at[0], at[1], pick.step)
+
+
 def _select_one(sig: Signal, axis: str, pick: int | slice) -> Signal:
+    if axis in sig.sizes:
+        pick = _from_start(pick, sig.sizes[axis])
     ends = [pick] if isinstance(pick, int) else [pick.start, pick.stop]
     cells, coords = sig.cells, sig.coords
     if any(e is not None and e < 0 for e in ends):
@@ -86,7 +97,9 @@ def _select_one(sig: Signal, axis: str, pick: int | slice) -> Signal:
     if axis == "time" and samples is not None and (pick.start or 0) > 0 and "timestamp_start" in samples.columns:
         shift = F.lit(float(pick.start)) / F.col("sample_rate")
         samples = samples.withColumn("timestamp_start", F.col("timestamp_start") + shift)
-    return replace(sig.with_cells(out), coords=coords, samples=samples)
+    known = sig.sizes.get(axis)
+    size = None if known is None else len(range(known)[pick])
+    return replace(sig.with_cells(out, sizes={axis: size}), coords=coords, samples=samples)
 
 
 def index_bounds_problems(sig: Signal, axis: str, index: int) -> DataFrame:
@@ -129,7 +142,9 @@ def concat(parts: Sequence[Signal], axis: str) -> Signal:
         ]
         coords = shifted(fold(DataFrame.unionByName, both), "idx", F.col("axis") == axis)
     out = shifted(cells, axis, F.lit(True))
-    return replace(parts[0].with_cells(out), coords=coords)
+    known = [p.sizes.get(axis) for p in parts]
+    size = None if None in known else sum(known)
+    return replace(parts[0].with_cells(out, sizes={axis: size}), coords=coords)
 
 
 def concat_problems(samples: Sequence[DataFrame], tolerance: float = 1e6) -> DataFrame:
@@ -160,7 +175,11 @@ def merge_axes(sig: Signal, axes: Sequence[str], name: str, sizes: dict[str, int
     kept = [a for a in sig.axes if a not in axes]
     at = min(sig.axes.index(a) for a in axes)
     order = [*kept[:at], name, *kept[at:]] if at <= len(kept) else [*kept, name]
-    return sig.with_cells(cells.withColumn("_flat", flat).drop(*axes).withColumnRenamed("_flat", name), order)
+    known = [{**sig.sizes, **(sizes or {})}.get(a) for a in axes]
+    size = None if None in known else math.prod(known)
+    return sig.with_cells(
+        cells.withColumn("_flat", flat).drop(*axes).withColumnRenamed("_flat", name), order, {name: size}
+    )
 
 
 def split_axis(sig: Signal, axis: str, sizes: dict[str, int]) -> Signal:
@@ -176,7 +195,7 @@ def split_axis(sig: Signal, axis: str, sizes: dict[str, int]) -> Signal:
     order = [*sig.axes[:at], *names, *sig.axes[at + 1 :]]
     others = [a for a in sig.axes if a != axis]
     cells = sig.cells.select(KEY, *others, *(parts[n].alias(n) for n in names), *sig.parts)
-    return sig.with_cells(cells, order)
+    return sig.with_cells(cells, order, {n: sizes[n] or None for n in names})
 
 
 def _groups(side: str) -> list[tuple[str, ...]]:
@@ -223,7 +242,7 @@ def repeat(sig: Signal, axis: str, n: int) -> Signal:
     if axis in sig.axes:
         raise ValueError(f"axis {axis!r} exists")
     copies = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(axis)
-    return sig.with_cells(sig.cells.select("*", copies), [*sig.axes, axis])
+    return sig.with_cells(sig.cells.select("*", copies), [*sig.axes, axis], {axis: n})
 
 
 def resize_axis(sig: Signal, axis: str, length: int, crop: str = "left") -> Signal:
@@ -239,16 +258,18 @@ def resize_axis(sig: Signal, axis: str, length: int, crop: str = "left") -> Sign
     start = F.lit(0).cast("bigint")
     if crop == "center":
         start = F.greatest(F.lit(0), F.floor((size - length) / F.lit(2)))
-    cells = with_lengths(sig, axis)
-    kept = cells.where((F.col(axis) >= start) & (F.col(axis) < start + length)).withColumn(
-        axis, F.col(axis).cast("bigint") - start
-    )
-    # each series emits its own padding from its first cell
-    short = cells.where((F.col(axis) == 0) & (size < length))
-    gaps = F.sequence(size, F.lit(length - 1).cast("bigint"))
-    pads = short.withColumn(axis, F.explode(gaps)).withColumns({p: F.lit(0.0) for p in sig.parts})
-    columns = sig.cells.columns
-    out = replace(sig.with_cells(kept.select(columns).unionByName(pads.select(columns))), coords=None)
+    cells, i = with_lengths(sig, axis), F.col(axis).cast("bigint")
+    none = F.array().cast("array<bigint>")
+    inside = F.when((i >= start) & (i < start + length), F.array(i - start)).otherwise(none)
+    # the first cell of a short series also emits the padding
+    padding = F.when(
+        (i == 0) & (size < length), F.sequence(size, F.lit(length - 1).cast("bigint"))
+    ).otherwise(none)
+    rows = cells.withColumn("_to", F.explode(F.concat(inside, padding)))
+    is_pad = F.col("_to") >= size
+    rows = rows.withColumns({p: F.when(is_pad, F.lit(0.0)).otherwise(F.col(p)) for p in sig.parts})
+    out = sig.with_cells(rows.drop(axis).withColumnRenamed("_to", axis), sizes={axis: length})
+    out = replace(out, coords=None)
     if sig.coords is None:
         return out
     lengths = axis_lengths(sig, axis)
@@ -300,7 +321,7 @@ def temporal_resize(
     if mode == "nearest":
         rows = cells.withColumn("_j", F.explode(span(i / ratio - 1, (i + 1) / ratio + 1)))
         rows = rows.where(F.least(F.floor(j * ratio), size - 1) == i)
-        return sig.with_cells(rows.drop(axis).withColumnRenamed("_j", axis))
+        return sig.with_cells(rows.drop(axis).withColumnRenamed("_j", axis), sizes={axis: length})
     if mode != "linear":
         raise ValueError(f"unknown mode {mode!r}")
     if align_corners:
@@ -322,7 +343,7 @@ def temporal_resize(
     out = rows.groupBy(*sig.keys(axis), j.alias(axis)).agg(
         *(F.sum(F.col(p) * F.col("_w")).alias(p) for p in sig.parts)
     )
-    return replace(sig.with_cells(out), coords=None)
+    return replace(sig.with_cells(out, sizes={axis: length}), coords=None)
 
 
 def resized_coordinates(sig: Signal, axis: str, length: int) -> DataFrame:
@@ -364,7 +385,8 @@ def unbatch(sig: Signal, axis: str = "batch") -> Signal:
     sig.require(axis)
     key = F.concat_ws("/", F.col(KEY).cast("string"), F.col(axis).cast("string"))
     kept = [a for a in sig.axes if a != axis]
-    return Signal(sig.cells.select(key.alias(KEY), *kept, *sig.parts), tuple(kept))
+    sizes = {a: n for a, n in sig.sizes.items() if a in kept}
+    return Signal(sig.cells.select(key.alias(KEY), *kept, *sig.parts), tuple(kept), sizes=sizes)
 
 
 def stack(parts: Sequence[Signal], axis: str = "view") -> Signal:
@@ -373,4 +395,7 @@ def stack(parts: Sequence[Signal], axis: str = "view") -> Signal:
         if set(p.axes) != set(parts[0].axes) or p.parts != parts[0].parts:
             raise ValueError("stack needs equal axes and value kind")
     tagged = [p.cells.select(KEY, F.lit(i).cast("bigint").alias(axis), *p.axes, *p.parts) for i, p in enumerate(parts)]
-    return Signal(fold(DataFrame.unionByName, tagged), (axis, *parts[0].axes), parts[0].samples)
+    sizes = {a: n for a, n in parts[0].sizes.items() if all(p.sizes.get(a) == n for p in parts)}
+    return Signal(
+        fold(DataFrame.unionByName, tagged), (axis, *parts[0].axes), parts[0].samples, sizes={**sizes, axis: len(parts)}
+    )

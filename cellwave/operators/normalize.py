@@ -34,9 +34,9 @@ def amplitude_phase(sig: Signal, unwrap_axis: str | None = None) -> Signal:
         from cellwave.operators.series import phase_unwrap
 
         phase = phase_unwrap(sig, unwrap_axis).cells.withColumn("feature", F.lit(1).cast("bigint"))
-        return sig.with_cells(amp.unionByName(phase), [*sig.axes, "feature"])
+        return sig.with_cells(amp.unionByName(phase), [*sig.axes, "feature"], {"feature": 2})
     both = F.posexplode(F.array(F.hypot("re", "im"), F.atan2("im", "re"))).alias("feature", "value")
-    return sig.with_cells(sig.cells.select(*sig.keys(), both), [*sig.axes, "feature"])
+    return sig.with_cells(sig.cells.select(*sig.keys(), both), [*sig.axes, "feature"], {"feature": 2})
 
 
 def _scaled(sig: Signal, df: DataFrame, factor: Column, **shift: Column) -> Signal:
@@ -154,7 +154,7 @@ def split_complex(sig: Signal, axis: str = "ri") -> Signal:
     """Real and imaginary part along a new leading axis."""
     sig.require(kind="complex")
     both = F.posexplode(F.array("re", "im")).alias(axis, "value")
-    return sig.with_cells(sig.cells.select(*sig.keys(), both), [axis, *sig.axes])
+    return sig.with_cells(sig.cells.select(*sig.keys(), both), [axis, *sig.axes], {axis: 2})
 
 
 def polar_projection(

@@ -151,11 +151,13 @@ def adjacent_rx_conjugate(sig: Signal, axis: str = "rx") -> Signal:
     ).where((F.col("_n") != 2) | (F.col(axis) == 0))
     re, im = _times_conjugate(F.col("re"), F.col("im"), F.col("_re"), F.col("_im"))
     alone = F.col("_n") == 1
-    return sig.with_cells(rows.select(
+    out = rows.select(
         *sig.keys(),
         F.when(alone, F.col("re")).otherwise(re).alias("re"),
         F.when(alone, F.col("im")).otherwise(im).alias("im"),
-    ))
+    )
+    known = sig.sizes.get(axis)
+    return sig.with_cells(out, sizes={axis: 1 if known == 2 else known})
 
 
 def reference_rx_conjugate(
@@ -168,14 +170,14 @@ def reference_rx_conjugate(
     if rx_axis not in sig.axes:
         if not allow_passthrough:
             raise ValueError(f"axis {rx_axis!r} not found; the signal has {sig.axes}")
-        return sig.with_cells(sig.cells.withColumnRenamed(axis, new_axis), names)
+        return sig.with_cells(sig.cells.withColumnRenamed(axis, new_axis), names, {new_axis: sig.sizes.get(axis)})
     sig.require(kind="complex")
     w = Window.partitionBy(*sig.keys(rx_axis))
     ref = {p: F.max(F.when(F.col(rx_axis) == ref_rx, F.col(p))).over(w) for p in ("re", "im")}
     rows = sig.cells.withColumns({"_re": ref["re"], "_im": ref["im"]})
     re, im = _times_conjugate(F.col("re"), F.col("im"), F.col("_re"), F.col("_im"))
     out = rows.select(*sig.keys(), re.alias("re"), im.alias("im")).withColumnRenamed(axis, new_axis)
-    return sig.with_cells(out, names)
+    return sig.with_cells(out, names, {new_axis: sig.sizes.get(axis)})
 
 
 def temporal_filter(
@@ -372,7 +374,9 @@ def extract_segments(sig: Signal, segments: DataFrame, axis: str = "time", span:
     rows = cells.join(wanted.select(KEY, "_bucket", "segment", "start", "end"), on=[KEY, "_bucket"]).where(
         (F.col(axis) >= F.col("start")) & (F.col(axis) < F.col("end"))
     )
-    return sig.with_cells(rows.withColumn(axis, F.col(axis) - F.col("start")), ["segment", *sig.axes])
+    return sig.with_cells(
+        rows.withColumn(axis, F.col(axis) - F.col("start")), ["segment", *sig.axes], {axis: None}
+    )
 
 
 def frame_groups(
@@ -405,7 +409,7 @@ def frame_groups(
     rows = rows.withColumn("_use", F.explode(uses))
     out = rows.withColumns({axis: F.col("_use.t"), "group": F.col("_use.g")})
     at = sig.axes.index(axis) + 1
-    return sig.with_cells(out, [*sig.axes[:at], "group", *sig.axes[at:]])
+    return sig.with_cells(out, [*sig.axes[:at], "group", *sig.axes[at:]], {"group": group})
 
 
 def center_frames(
@@ -417,7 +421,9 @@ def center_frames(
     start = F.floor(F.col(f"_len_{axis}") / F.lit(2)) - count // 2
     kept = rows.where((F.col(axis) >= start) & (F.col(axis) < start + count))
     names = [new_axis if a == axis else a for a in sig.axes]
-    return sig.with_cells(kept.withColumn(axis, F.col(axis) - start).withColumnRenamed(axis, new_axis), names)
+    return sig.with_cells(
+        kept.withColumn(axis, F.col(axis) - start).withColumnRenamed(axis, new_axis), names, {new_axis: count}
+    )
 
 
 def select_view(sig: Signal, view: str, views: dict[str, int]) -> Signal:

@@ -37,7 +37,8 @@ def map_series(
     result = array_kernel(kernel, sig.parts, *(F.col(n) for n in flags), real=real)
     names = [new_axis if a == axis else a for a in sig.axes]
     done = packed.select(*sig.keys(axis), result.alias("_y"))
-    return replace(sig.with_cells(_exploded(done, sig.keys(axis), new_axis, real), names), coords=None)
+    cells = _exploded(done, sig.keys(axis), new_axis, real)
+    return replace(sig.with_cells(cells, names, {new_axis: None}), coords=None)
 
 
 def _exploded(done: DataFrame, keys: Sequence[str], axis: str, real: bool) -> DataFrame:
@@ -168,7 +169,10 @@ def stft(
     done = packed.withColumn("_y", array_kernel(kernel, sig.parts, F.col("_frames")))
     kept = [a for a in sig.axes if a != axis]
     cells = _unframed(done, sig.keys(axis), per_chunk, bins, ("freq", "frame"), False)
-    return replace(sig.with_cells(cells, [*kept, "freq", "frame"]), coords=None)
+    known = {**sig.sizes, **(sizes or {})}.get(axis)
+    pad = n_fft // 2 * 2 if center else 0
+    frames = None if known is None else max(0, (known + pad - n_fft) // hop + 1)
+    return replace(sig.with_cells(cells, [*kept, "freq", "frame"], {"freq": bins, "frame": frames}), coords=None)
 
 
 def acoustic_stft(sig: Signal, **args) -> Signal:
@@ -200,9 +204,18 @@ def dense_doppler(
 
     done = packed.withColumn("_y", array_kernel(kernel, sig.parts, F.col("_frames"), real=True))
     cells = _unframed(done, sig.keys("time"), per_chunk, len(picked), ("freq_bin", "time_bin"), True)
-    lengths = sig.cells.groupBy(KEY).agg((F.max("tx") + 1).alias("_tx"))
-    linked = cells.join(lengths, on=KEY).withColumn("link", F.col("rx") * F.col("_tx") + F.col("tx"))
-    out = sig.with_cells(linked, ["time_bin", "freq_bin", "subc", "link"])
+    known = {**sig.sizes, **(sizes or {})}
+    if "tx" in known:
+        linked = cells.withColumn("_len_tx", F.lit(known["tx"]))
+    else:
+        linked = cells.join(axis_lengths(sig, "tx"), on=KEY)
+    linked = linked.withColumn("link", F.col("rx") * F.col("_len_tx") + F.col("tx"))
+    links = known["tx"] * known["rx"] if {"tx", "rx"} <= set(known) else None
+    frames = known["time"] // window_step + 1 if "time" in known and nfft % 2 == 0 else None
+    out = sig.with_cells(
+        linked, ["time_bin", "freq_bin", "subc", "link"],
+        {"time_bin": frames, "freq_bin": len(picked), "link": links},
+    )
     if target_time_bins is None:
         return out
     from cellwave.operators.axes import resize_axis
@@ -357,7 +370,8 @@ def map_block(
         *(["value"] if real else ["re", "im"]),
     )
     kept = [a for a in sig.axes if a not in axes]
-    return replace(sig.with_cells(cells, [*kept, *out_axes]), coords=None)
+    known = {a: n if isinstance(n, int) else None for a, n in out_axes.items()}
+    return replace(sig.with_cells(cells, [*kept, *out_axes], known), coords=None)
 
 
 def beamform(
@@ -503,8 +517,9 @@ def fft_long(
     sign = 1 if inverse else -1
     keys = sig.keys(axis)
     parts = ["re", "im"] if sig.is_complex else [F.col("value").alias("re"), F.lit(0.0).alias("im")]
-    if sizes and axis in sizes:
-        lengths = sig.cells.select(KEY).distinct().withColumn("_n", F.lit(sizes[axis]).cast("bigint"))
+    known = {**sig.sizes, **(sizes or {})}
+    if axis in known:
+        lengths = sig.cells.select(KEY).distinct().withColumn("_n", F.lit(known[axis]).cast("bigint"))
     else:
         lengths = axis_lengths(sig, axis).select(KEY, F.col(f"_len_{axis}").alias("_n"))
     lengths = lengths.withColumn("_n1", _largest_low_divisor(F.col("_n")))
@@ -521,4 +536,4 @@ def fft_long(
     out = done.select(
         *keys, F.col(axis).alias(new_axis), (F.col("re") * scale).alias("re"), (F.col("im") * scale).alias("im")
     )
-    return replace(sig.with_cells(out, names), coords=None)
+    return replace(sig.with_cells(out, names, {new_axis: sig.sizes.get(axis)}), coords=None)

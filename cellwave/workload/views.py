@@ -36,7 +36,7 @@ def complex_signal(t, samples=None, coords=None, **sizes: int) -> Signal:
     flat = t.embeddings.select(F.col("vec_id").alias(KEY), F.posexplode(pairs).alias("_j", "_c"))
     j = F.col("_j").cast("bigint")
     cells = flat.select(KEY, *_index_columns(j, sizes), "_c.re", "_c.im")
-    return Signal(cells, tuple(sizes), samples, coords)
+    return Signal(cells, tuple(sizes), samples, coords, sizes)
 
 
 def real_signal(t, samples=None, coords=None, **sizes: int) -> Signal:
@@ -44,7 +44,7 @@ def real_signal(t, samples=None, coords=None, **sizes: int) -> Signal:
     flat = t.embeddings.select(F.col("vec_id").alias(KEY), F.posexplode("embedding").alias("_j", "_v"))
     j = F.col("_j").cast("bigint")
     cells = flat.select(KEY, *_index_columns(j, sizes), F.col("_v").cast("double").alias("value"))
-    return Signal(cells, tuple(sizes), samples, coords)
+    return Signal(cells, tuple(sizes), samples, coords, sizes)
 
 
 def complex_sql(**sizes: int) -> str:

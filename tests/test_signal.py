@@ -395,3 +395,33 @@ def test_long_fft(spark, max_group):
     check(freq, [np.fft.fft(a, axis=0, norm="ortho") for a in x])
     back = spectral.fft_long(sig, norm="backward", inverse=True, max_group=max_group)
     check(back, [np.fft.ifft(a, axis=0) for a in x])
+
+
+SIZED_CASES = {
+    "negative_slice": lambda s: axes.select_index(s, time=slice(-5, -1, 2), rx=-1),
+    "concat": lambda s: axes.concat([s, axes.select_index(s, time=slice(0, 3))], "time"),
+    "crop": lambda s: axes.resize_axis(s, "time", 5, crop="center"),
+    "pad": lambda s: axes.resize_axis(s, "time", 17),
+    "resize": lambda s: axes.temporal_resize(s, "time", 7),
+    "merge": lambda s: axes.merge_axes(s, ["subc", "rx"], "f"),
+    "rearrange": lambda s: axes.rearrange(s, "time subc rx -> rx (subc time)"),
+    "conjugate": series.adjacent_rx_conjugate,
+    "doppler": lambda s: spectral.dense_doppler(axes.repeat(s, "tx", 1), 16, 4, 2, 8, 3, target_time_bins=4),
+    "stft": lambda s: spectral.stft(s, n_fft=4),
+    "center": lambda s: series.center_frames(s, 4, axis="time", new_axis="frame"),
+    "long": lambda s: spectral.fft_long(s, max_group=4),
+    "phase": lambda s: normalize.amplitude_phase(s, unwrap_axis="subc"),
+}
+
+
+@pytest.mark.parametrize("case", sorted(SIZED_CASES))
+def test_declared_sizes_change_nothing(spark, case):
+    x = [noise(12, 3, 2), noise(12, 3, 2)]
+    plain = to_signal(spark, x, ["time", "subc", "rx"])
+    declared = Signal(plain.cells, plain.axes, sizes={"time": 12, "subc": 3, "rx": 2})
+    a, b = SIZED_CASES[case](plain), SIZED_CASES[case](declared)
+    assert a.axes == b.axes
+    got = to_arrays(b)
+    check(a, got)
+    for axis, n in b.sizes.items():
+        assert {g.shape[b.axes.index(axis)] for g in got} == {n}, axis
