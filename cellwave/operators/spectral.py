@@ -252,14 +252,17 @@ def _chunk_windows(sig: Signal, axis: str, chunk: int, before: int, after: int)
 
 def autocorrelation(
     sig: Signal, axis: str = "time", max_lag: int | None = None, normalized: bool = True, value: str = "magnitude",
-    chunk: int = 65536,
+    chunk: int = 65536, long_series: bool = False,
 ) -> Signal:
     """Autocorrelation at lags 0..max_lag, divided by lag 0 if normalised.
 
-    Chunks add up the products of their own starts; without ``max_lag`` the
-    series must be bounded, since every lag needs all of it.
+    Chunks add up the products of their own starts. Without ``max_lag`` every
+    lag needs the whole series: a bounded one is packed, and ``long_series``
+    takes the power spectrum of the zero-padded series instead.
     """
     view = _real_view(sig, value)
+    if max_lag is None and long_series:
+        return _scaled_lags(view, axis, _spectral_lags(view, axis), normalized)
     size = chunk if max_lag is not None else 1 << 40
     packed = _chunk_windows(view, axis, size, 0, max_lag or 0)
 
@@ -270,8 +273,28 @@ def autocorrelation(
         return np.fft.irfft(np.conj(own) * np.fft.rfft(x, n=n, axis=1), n=n, axis=1)[:, :lags]
 
     done = packed.withColumn("_y", array_kernel(kernel, ["value"], F.col("_owned"), real=True))
-    kept = [a for a in sig.axes if a != axis]
     sums = _exploded(done, sig.keys(axis), "lag", True).groupBy(*sig.keys(axis), "lag").agg(F.sum("value").alias("value"))
+    return _scaled_lags(view, axis, sums, normalized)
+
+
+def _spectral_lags(sig: Signal, axis: str) -> DataFrame:
+    """All lags of real series from their power spectrum at twice the length."""
+    rows = with_lengths(sig, axis)
+    size = F.col(f"_len_{axis}")
+    both = F.array(
+        F.struct(F.col(axis).cast("bigint").alias("i"), F.col("value").alias("v")),
+        F.struct((F.col(axis) + size).cast("bigint").alias("i"), F.lit(0.0).alias("v")),
+    )
+    padded = rows.withColumn("_p", F.explode(both)).withColumns({axis: F.col("_p.i"), "value": F.col("_p.v")})
+    spectrum = fft_long(sig.with_cells(padded, sizes={axis: None}), axis, "backward")
+    power = spectrum.with_parts(re=F.col("re") * F.col("re") + F.col("im") * F.col("im"), im=F.lit(0.0))
+    back = fft_long(power, "freq", "backward", new_axis="lag", inverse=True)
+    halved = with_lengths(back, "lag").where(F.col("lag") < F.col("_len_lag") / 2)
+    return halved.select(*sig.keys(axis), "lag", F.col("re").alias("value"))
+
+
+def _scaled_lags(view: Signal, axis: str, sums: DataFrame, normalized: bool) -> Signal:
+    sig, kept = view, [a for a in view.axes if a != axis]
     out = view.with_cells(sums, [*kept, "lag"])
     if not normalized:
         return out

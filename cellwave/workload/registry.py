@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cellwave.functions.ship import ship_package
+
 FAMILIES = (
     "manifest",
     "evaluation",
@@ -29,6 +31,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         # event times are zone-less; a fixed zone keeps epoch seconds stable
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -425,3 +425,10 @@ def test_declared_sizes_change_nothing(spark, case):
     check(a, got)
     for axis, n in b.sizes.items():
         assert {g.shape[b.axes.index(axis)] for g in got} == {n}, axis
+
+
+def test_long_autocorrelation_equals_packed(spark):
+    x = [noise(14, real=True), noise(5, real=True)]
+    sig = to_signal(spark, x, ["time"])
+    packed = spectral.autocorrelation(sig)
+    check(spectral.autocorrelation(sig, long_series=True), to_arrays(packed))
