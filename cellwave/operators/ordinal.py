@@ -138,6 +138,8 @@ def first_rows_per_key(
     near = null_safe(narrow, F.broadcast(edges), [*keys, "_bucket"])
     last = near.withColumn("_inside", inside).where(F.col("_inside") == F.col("_rank"))
     last = last.select(*keys, place.alias("_last"))
+    # kept as rows so that later jobs do not search again
+    last = spark.createDataFrame(last.collect(), last.schema)
     marked = null_safe(df, F.broadcast(last), keys, "left")
     return marked.withColumn(name, F.coalesce(place <= F.col("_last"), F.lit(False))).drop("_last")
 
