@@ -86,7 +86,10 @@ def line_removals(documents: DataFrame, most_documents: int) -> DataFrame:
     """``host, text_hash, total, removed_words`` (words) of the texts that hold a line of more than ``most_documents`` documents."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(
-        F.monotonically_increasing_id().alias("row"), *_text_key(text), F.explode(F.split(F.lower(text), "\n")).alias("raw")
+        F.monotonically_increasing_id().alias("row"),
+        *_text_key(text),
+        F.size(F.filter(F.split(text, GAP), lambda w: w != "")).alias("total"),
+        F.explode(F.split(F.lower(text), "\n")).alias("raw"),
     )
     clean = F.trim(F.regexp_replace(F.regexp_replace("raw", GAP, " "), r"\d", "0"))
     rows = rows.select("row", "host", "text_hash", "total", clean.alias("clean")).filter("clean != ''")
