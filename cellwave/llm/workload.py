@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwave.llm import chat_trees, quality, url_trie
-from cellwave.llm.common import shipped
+from cellwave.llm import chat_trees, packing, quality, token_files, url_trie, warc
+from cellwave.llm.common import new_place, shipped
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -130,3 +130,35 @@ def op9_chat_trees(spark: SparkSession, folder: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.encode("loss", "utf-8"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query("op1_best_fit_packing")
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    pieces = packing.cut_documents(documents).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack_pieces(pieces, packing.shard_count(documents))
+
+
+@query("op10_bit_packed_tokens")
+def op10_bit_packed_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    place = new_place(shipped(spark), "token-files")
+    token_files.write_tokens(table(spark, folder, "documents"), place)
+    return token_files.read_tokens(spark, place).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query(
+    "op6_warc_segments",
+    r"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    r AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+    d AS (SELECT *, list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda k:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (5 * i + 1)::INT, 5))::BIGINT >> k) & 31)::INT + 1, 1)),
+        'string_agg', '')), 'string_agg', '') AS payload_digest FROM r)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+    """,
+)
+def op6_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
+    place = new_place(shipped(spark), "warc")
+    warc.write_archives(warc.assign_revisits(table(spark, folder, "pages")), place)
+    return warc.read_pages(spark, place).drop("payload")
