@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwave.llm import chat_trees, packing, quality, token_files, url_trie, warc
+from cellwave.llm import chat_trees, jaccard, packing, quality, token_files, url_trie, warc
 from cellwave.llm.common import new_place, shipped
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,8 @@ def op6_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
     place = new_place(shipped(spark), "warc")
     warc.write_archives(warc.assign_revisits(table(spark, folder, "pages")), place)
     return warc.read_pages(spark, place).drop("payload")
+
+
+@query("op7_prefix_tree_jaccard")
+def op7_prefix_tree_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, folder, "documents")).drop("text_key")
