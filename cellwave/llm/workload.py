@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwave.llm import chat_trees, jaccard, packing, quality, token_files, url_trie, warc
+from cellwave.llm import chat_trees, jaccard, packing, quality, suffix, token_files, url_trie, warc
 from cellwave.llm.common import new_place, shipped
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,13 @@ def op6_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_prefix_tree_jaccard")
 def op7_prefix_tree_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, folder, "documents")).drop("text_key")
+
+
+@query("op5_suffix_array_dedup")
+def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = suffix.strip_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return rows.select(
+        "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("suffix_kept")).alias("n_removed"),
+        F.size("suffix_spans").cast("long").alias("n_spans"), F.sha2("suffix_kept", 256).alias("kept_sha256"),
+    )
