@@ -82,10 +82,11 @@ def best_paths(nodes: DataFrame) -> DataFrame:
     inner = jumps[0].filter("up is not null").select(F.col("up").alias("node")).distinct()
     rank = F.struct("total", "depth", (-F.col("node")).alias("low"))
     leaves = done.join(inner, "node", "left_anti").groupBy("conv_id").agg(F.max(rank).alias("rank"))
-    path = leaves.select((-F.col("rank.low")).alias("node"))
+    path = written(leaves.select((-F.col("rank.low")).alias("node")), "chat-path")
     for table in jumps[:-1]:
         above = table.filter("up is not null").join(path, "node").select(F.col("up").alias("node"))
-        path = path.unionByName(above)
+        # written, because each round uses the last one twice
+        path = written(path.unionByName(above), "chat-path")
     return done.join(path, "node").select("conv_id", "node", "depth")
 
 
