@@ -2,7 +2,7 @@
 
 Line frequency: normalised lines are hashed, distinct documents are counted per host (equal texts count once,
 so copies of one document do not make its lines boilerplate), lines in more than ``most_documents`` are removed
-and a document with fewer than ``least_words`` words left is rejected.
+and a document with fewer than ``least_left`` characters left is rejected.
 """
 
 from __future__ import annotations
@@ -13,31 +13,30 @@ from pyspark.sql import functions as F
 from cellwave.llm.common import written
 
 GAP = r"[\x20\x09-\x0D]+"
+NOT_GAP = r"[^\x20\x09-\x0D]"
+BLANKS = "\x20\x09\x0B\x0C\x0D"
 SYMBOLS = r"[^#*$%&|<>]+"
 RUN = 5
+MOST_DOCUMENTS, LEAST_LEFT, LEAST_WORDS, MOST_REPEATED = 100, 50, 10, 20
 
 
-def _run_hashes(words: Column) -> Column:
-    """A hash for each window of ``RUN`` words."""
-    return F.when(
-        F.size(words) >= RUN,
-        F.transform(
-            F.sequence(F.lit(0), F.size(words) - RUN), lambda i: F.xxhash64(*(words[i + k] for k in range(RUN)))
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+def _run_hashes(hashes: Column) -> Column:
+    """A hash for each window of ``RUN`` words, from the hashes of the words."""
+    runs = F.transform(hashes, lambda h, i: F.xxhash64(h, *(F.get(hashes, i + k) for k in range(1, RUN))))
+    return F.slice(runs, 1, F.greatest(F.size(hashes) - (RUN - 1), F.lit(0)))
 
 
-def text_measures(documents: DataFrame) -> DataFrame:
+def text_measures(documents: DataFrame, carried: tuple[str, ...]) -> DataFrame:
     """``document, host, text_hash`` and the counts of every row; a null text has no words, a null source is host ''.
 
-    ``document`` holds all columns of the row, whatever their names.
+    ``document`` holds the ``carried`` columns of the row, whatever their names.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = documents.select(
-        F.struct("*").alias("document"),
+        F.struct(*carried).alias("document"),
         *_text_key(text),
         F.filter(F.split(text, GAP), lambda w: w != "").alias("words"),
-        F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, GAP, "") != "").alias("lines"),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_GAP)).alias("lines"),
         F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long").alias("n_symbols"),
     )
     runs = base.select(
@@ -45,8 +44,9 @@ def text_measures(documents: DataFrame) -> DataFrame:
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _run_hashes(F.col("words")).alias("runs"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
+    runs = runs.withColumn("runs", _run_hashes(F.col("hashes"))).drop("hashes")
     # windows sorted by hash, in the texts that repeat one
     tagged = runs.withColumn(
         "tagged",
@@ -83,60 +83,66 @@ def _text_key(text: Column) -> tuple[Column, Column]:
 
 
 def line_removals(documents: DataFrame, most_documents: int) -> DataFrame:
-    """``host, text_hash, total, removed_words`` (words) of the texts that hold a line of more than ``most_documents`` documents."""
+    """``host, text_hash, removed_chars, left_chars`` of the texts that hold a line of more than ``most_documents`` documents.
+
+    Characters are those of lines without the blanks at their ends.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(
-        F.monotonically_increasing_id().alias("row"),
-        *_text_key(text),
-        F.size(F.filter(F.split(text, GAP), lambda w: w != "")).alias("total"),
-        F.explode(F.split(F.lower(text), "\n")).alias("raw"),
+        F.monotonically_increasing_id().alias("row"), *_text_key(text), F.explode(F.split(F.lower(text), "\n")).alias("raw")
     )
-    clean = F.trim(F.regexp_replace(F.regexp_replace("raw", GAP, " "), r"\d", "0"))
-    rows = rows.select("row", "host", "text_hash", "total", clean.alias("clean")).filter("clean != ''")
-    rows = rows.select(
-        "row", "host", "text_hash", "total", F.xxhash64("clean").alias("line"), F.size(F.split("clean", " ")).alias("words")
-    )
-    per_row = rows.groupBy("row", "host", "text_hash", "total", "line").agg(F.sum("words").alias("words"))
-    per_text = per_row.groupBy("host", "text_hash", "total", "line").agg(F.max("words").alias("words"))
+    rows = rows.select("row", "host", "text_hash", F.btrim("raw", F.lit(BLANKS)).alias("clean"))
+    rows = rows.select("row", "host", "text_hash", F.xxhash64("clean").alias("line"), F.length("clean").alias("chars"))
+    per_row = rows.filter("chars > 0").groupBy("row", "host", "text_hash", "line").agg(F.sum("chars").alias("chars"))
+    per_text = per_row.groupBy("host", "text_hash", "line").agg(F.max("chars").alias("chars"))
     lines = written(per_text, "quality-lines")
-    often = lines.groupBy("host", "line").count().filter(F.col("count") > most_documents).select("host", "line")
-    return lines.join(often, ["host", "line"]).groupBy("host", "text_hash", "total").agg(
-        F.sum("words").alias("removed_words")
+    often = lines.groupBy("host", "line").count().filter(F.col("count") > most_documents)
+    often = often.select("host", "line", F.lit(True).alias("often"))
+    removed = F.coalesce(F.sum(F.when(F.col("often"), F.col("chars"))), F.lit(0))
+    return (
+        lines.join(often, ["host", "line"], "left")
+        .groupBy("host", "text_hash")
+        .agg(removed.alias("removed_chars"), (F.sum("chars") - removed).alias("left_chars"))
+        .filter("removed_chars > 0")
     )
 
 
+def _base_failed(least_words: int, most_repeated: int) -> Column:
+    return (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated)
+
+
 def judge_quality(
-    documents: DataFrame, most_documents: int = 100, least_words: int = 10, most_repeated: int = 20
+    documents: DataFrame,
+    most_documents: int = MOST_DOCUMENTS,
+    least_left: int = LEAST_LEFT,
+    least_words: int = LEAST_WORDS,
+    most_repeated: int = MOST_REPEATED,
 ) -> DataFrame:
-    """Measures of every row with ``removed_words``, ``base_failed`` and ``kept``.
+    """``doc_id``, the counts of every row, ``removed_chars``, ``base_failed`` and ``kept``.
 
     ``base_failed``: fewer than ``least_words`` words, or over ``most_repeated`` per cent of them in repeated
     windows. ``kept`` is false for those and for documents that lines over the limit leave with fewer than
-    ``least_words`` words. Null and empty texts fail; repeated rows are judged alike and each returned.
+    ``least_left`` characters. Null and empty texts fail; repeated rows are judged alike and each returned.
     """
-    removed = line_removals(documents, most_documents).drop("total")
-    failed = _base_failed(least_words, most_repeated)
-    left = F.col("n_words") - F.col("removed_words")
+    removed = line_removals(documents, most_documents)
+    measures = text_measures(documents, ("doc_id",)).select("document.doc_id", "*").drop("document")
     return (
-        text_measures(documents)
-        .join(removed, ["host", "text_hash"], "left")
-        .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (left >= least_words))
-        .withColumn("doc_id", F.col("document.doc_id"))
-        .drop("host", "text_hash", "document")
+        measures.join(removed, ["host", "text_hash"], "left")
+        .withColumn("removed_chars", F.coalesce("removed_chars", F.lit(0)))
+        .withColumn("base_failed", _base_failed(least_words, most_repeated))
+        .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("left_chars") >= least_left, F.lit(True)))
+        .drop("host", "text_hash", "left_chars")
     )
 
 
-def _base_failed(least_words: int, most_repeated: int) -> Column:
-    return (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated)
-
-
 def keep_good(
-    documents: DataFrame, most_documents: int = 100, least_words: int = 10, most_repeated: int = 20
+    documents: DataFrame,
+    most_documents: int = MOST_DOCUMENTS,
+    least_left: int = LEAST_LEFT,
+    least_words: int = LEAST_WORDS,
+    most_repeated: int = MOST_REPEATED,
 ) -> DataFrame:
-    """The rows that ``judge_quality`` keeps, with all their columns; only keys of rejected texts are joined to them."""
-    depleted = line_removals(documents, most_documents).filter(F.col("total") - F.col("removed_words") < least_words)
-    good = text_measures(documents).filter(~_base_failed(least_words, most_repeated))
+    """The rows that ``judge_quality`` keeps, with all their columns; only keys of depleted texts are joined to them."""
+    depleted = line_removals(documents, most_documents).filter(F.col("left_chars") < least_left)
+    good = text_measures(documents, tuple(documents.columns)).filter(~_base_failed(least_words, most_repeated))
     return good.join(depleted.select("host", "text_hash"), ["host", "text_hash"], "left_anti").select("document.*")
-

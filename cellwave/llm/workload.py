@@ -75,17 +75,18 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     runs AS (SELECT doc_id, i, words[i:i+4] AS run FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
     twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM runs) WHERE n > 1),
     covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY 1),
-    clean AS (SELECT doc_id, host, text, trim(regexp_replace(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'), ' ') AS line
+    clean AS (SELECT doc_id, host, text, trim(l, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line
       FROM (SELECT doc_id, host, text, unnest(string_split(lower(text), chr(10))) AS l FROM t)),
     often AS (SELECT host, line FROM clean WHERE line <> '' GROUP BY 1, 2 HAVING count(DISTINCT text) > 100),
-    gone AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM clean JOIN often USING (host, line) GROUP BY 1),
+    gone AS (SELECT doc_id, coalesce(sum(length(line)) FILTER (o.line IS NOT NULL), 0) AS removed, sum(length(c.line)) AS total
+      FROM clean c LEFT JOIN often o USING (host, line) GROUP BY 1),
     m AS (SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-        coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words
+        coalesce(covered.n, 0)::BIGINT AS n_repeat_words, gone.removed::BIGINT AS removed_chars, gone.total - gone.removed AS left_chars
       FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN gone USING (doc_id))
-    SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-      NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - removed_words >= 10 AS kept FROM m
+    SELECT * EXCLUDE (left_chars), (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+      NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (removed_chars = 0 OR left_chars >= 50) AS kept FROM m
     """,
 )
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
