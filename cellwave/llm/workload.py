@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwave.llm import chat_trees, jaccard, packing, quality, suffix, token_files, url_trie, warc
+from cellwave.llm import chat_trees, jaccard, packing, qgrams, quality, suffix, token_files, url_trie, warc
 from cellwave.llm.common import new_place, shipped
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,8 @@ def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("suffix_kept")).alias("n_removed"),
         F.size("suffix_spans").cast("long").alias("n_spans"), F.sha2("suffix_kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op2_qgram_decontamination")
+def op2_qgram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return qgrams.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
