@@ -9,14 +9,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cellwave.functions.ship import ship_package
 
 _own: dict[str, str] = {}
 SLICE_BYTES = 4 << 20
-#: The white space that separates words: space, and tab to carriage return.
-SPACE = rb"[\x20\x09-\x0D]"
+FILTER_BITS = 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,6 +50,16 @@ def shipped(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def mark(key: str) -> Column:
+    """Where a key falls in a filter of ``2 ** FILTER_BITS`` places."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)).cast("int")
+
+
+def marks(rows: DataFrame, key: str) -> DataFrame:
+    """The filter's places that keys of ``rows`` fall in, as a broadcast side: at most ``2 ** FILTER_BITS`` numbers."""
+    return F.broadcast(rows.select(mark(key).alias("mark")).distinct())
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a column as one byte array, and where each begins and the last ends; null is empty."""
     if isinstance(column, pa.ChunkedArray):

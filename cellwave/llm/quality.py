@@ -144,5 +144,7 @@ def keep_good(
 ) -> DataFrame:
     """The rows that ``judge_quality`` keeps, with all their columns; only keys of depleted texts are joined to them."""
     depleted = line_removals(documents, most_documents).filter(F.col("left_chars") < least_left)
-    good = text_measures(documents, tuple(documents.columns)).filter(~_base_failed(least_words, most_repeated))
+    # the row number keeps the filter above the measures, which it would else be written into
+    rows = text_measures(documents, tuple(documents.columns)).withColumn("row", F.monotonically_increasing_id())
+    good = rows.filter((F.col("row") >= 0) & ~_base_failed(least_words, most_repeated))
     return good.join(depleted.select("host", "text_hash"), ["host", "text_hash"], "left_anti").select("document.*")

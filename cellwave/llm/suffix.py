@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwave.llm.common import slices, text_bytes, written
+from cellwave.llm.common import mark, marks, slices, text_bytes, written
 from cellwave.llm.words import mixed, powers
 
 WINDOW = 200
@@ -28,7 +28,6 @@ CELL_BITS = 18
 POSITION_BITS = 28
 SHARD_BYTES = 1 << 20
 MOST_KINDS = 4096
-FILTER_BITS = 20
 SEPARATOR = 0xFF  # in no UTF-8 text
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -242,8 +241,7 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray, prefixes: Prefixes) -
         shared[fits] += step
     out = np.zeros(n, np.int64)
     out[p] = shared + p
-    mark = np.where(free, here, 0)
-    last = np.maximum.accumulate(mark)
+    last = np.maximum.accumulate(np.where(free, here, 0))
     return np.maximum(out[last] - here, 0)
 
 
@@ -272,20 +270,11 @@ def ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---- all documents
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """At most ``2 ** FILTER_BITS`` marks: where the keys of ``rows`` fall in a filter of that many bits."""
-    return rows.select(_bit("key").alias("bit")).distinct()
-
-
-def _bit(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)).cast("int")
-
-
 def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """``key, text`` once for each wanted key; other texts but a few are left out before they move."""
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(text_key(text).alias("key"), text.alias("text"))
-    rows = rows.join(F.broadcast(_once(wanted)), _bit("key") == F.col("bit"), "left_semi")
+    rows = rows.join(marks(wanted, "key"), mark("key") == F.col("mark"), "left_semi")
     return rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
 
 
@@ -377,12 +366,12 @@ def strip_repeats(documents: DataFrame) -> DataFrame:
     windows. Windows never cross documents.
     """
     spans = written(removed_spans(documents), "suffix-spans")
-    bits = F.broadcast(_once(spans))
+    places = marks(spans, "key")
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(F.struct("*").alias("document"), text_key(text).alias("key"), F.encode(text, "utf-8").alias("raw"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    far = rows.join(bits, _bit("key") == F.col("bit"), "left_anti").withColumn("spans", none)
-    near = rows.join(bits, _bit("key") == F.col("bit"), "left_semi").join(spans, "key", "left")
+    far = rows.join(places, mark("key") == F.col("mark"), "left_anti").withColumn("spans", none)
+    near = rows.join(places, mark("key") == F.col("mark"), "left_semi").join(spans, "key", "left")
     near = near.select("document", "key", "raw", F.coalesce("spans", none).alias("spans"))
     starts = F.concat(F.array(F.lit(0)), F.col("spans.end"))
     kept = F.transform(
