@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwave.llm import chat_trees, jaccard, packing, qgrams, quality, suffix, token_files, url_trie, warc
+from cellwave.llm import chat_trees, jaccard, packing, qgrams, quality, suffix, suffix_tree_lm, token_files, url_trie, warc
 from cellwave.llm.common import new_place, shipped
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,8 @@ def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_qgram_decontamination")
 def op2_qgram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return qgrams.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op8_suffix_tree_lm")
+def op8_suffix_tree_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree_lm.score_documents(table(spark, folder, "documents"))
