@@ -27,6 +27,7 @@ GRAM = 32
 CELL_BITS = 18
 POSITION_BITS = 28
 SHARD_BYTES = 1 << 20
+SLICE_BYTES = 1 << 20
 MOST_KINDS = 4096
 SEPARATOR = 0xFF  # in no UTF-8 text
 _BASE = 0x9E3779B97F4A7C15
@@ -94,7 +95,7 @@ def anchor_levels(documents: DataFrame) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, np.int64)
         flat = np.zeros(1 << CELL_BITS, np.uint64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             anchors = contexts(*text_bytes(batch.column(0)), flat)[3].view(np.uint64)
             total += np.bincount((anchors >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
         cells = np.flatnonzero(total)
@@ -113,7 +114,7 @@ def context_rows(documents: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             row, lo, hi, anchor, whole = contexts(*text_bytes(batch.column(1)), levels.value)
             keys = batch.column(0).to_numpy()[row] if len(row) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
