@@ -64,27 +64,30 @@ def best_paths(nodes: DataFrame) -> DataFrame:
         "conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total"),
         F.lit(1).cast("long").alias("depth"),
     )
-    jumps = [state := written(state, "chat-jumps")]
+    state = written(state, "chat-jumps")
     most, reach = state.count(), 1
-    while reach < most and not state.filter("up is not null").isEmpty():
-        above = state.select(
+    done, open_ = state.filter("up is null"), state.filter("up is not null")
+    jumps = [open_]
+    while reach < most and not open_.isEmpty():
+        # only nodes that have not met their root yet are joined
+        above = done.unionByName(open_).select(
             F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"),
             F.col("depth").alias("further"),
         )
-        state = state.join(above, "up", "left").select(
-            "conv_id", "node", F.col("next").alias("up"),
-            (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-            (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"),
+        state = open_.join(above, "up").select(
+            "conv_id", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"),
+            (F.col("depth") + F.col("further")).alias("depth"),
         )
-        jumps.append(state := written(state, "chat-jumps"))
+        state = written(state, "chat-jumps")
+        done, open_ = done.unionByName(state.filter("up is null")), state.filter("up is not null")
+        jumps.append(open_)
         reach *= 2
-    done = state.filter("up is null")
-    inner = jumps[0].filter("up is not null").select(F.col("up").alias("node")).distinct()
+    inner = jumps[0].select(F.col("up").alias("node")).distinct()
     rank = F.struct("total", "depth", (-F.col("node")).alias("low"))
     leaves = done.join(inner, "node", "left_anti").groupBy("conv_id").agg(F.max(rank).alias("rank"))
     path = written(leaves.select((-F.col("rank.low")).alias("node")), "chat-path")
-    for table in jumps[:-1]:
-        above = table.filter("up is not null").join(path, "node").select(F.col("up").alias("node"))
+    for table in jumps:
+        above = table.join(path, "node").select(F.col("up").alias("node"))
         # written, because each round uses the last one twice
         path = written(path.unionByName(above), "chat-path")
     return done.join(path, "node").select("conv_id", "node", "depth")
