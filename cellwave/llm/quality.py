@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwave.llm.common import written
+from cellwave.llm.common import mark, marks, written
 
 GAP = r"[\x20\x09-\x0D]+"
 NOT_GAP = r"[^\x20\x09-\x0D]"
@@ -142,9 +142,16 @@ def keep_good(
     least_words: int = LEAST_WORDS,
     most_repeated: int = MOST_REPEATED,
 ) -> DataFrame:
-    """The rows that ``judge_quality`` keeps, with all their columns; only keys of depleted texts are joined to them."""
+    """The rows that ``judge_quality`` keeps, with all their columns; keys of depleted texts are joined to few."""
     depleted = line_removals(documents, most_documents).filter(F.col("left_chars") < least_left)
+    depleted = written(depleted.select("host", "text_hash", F.concat_ws("/", "host", "text_hash").alias("key")), "quality-depleted")
+    # only texts that may be among them move
+    host, key = _text_key(F.coalesce(F.col("text"), F.lit("")))
+    rows = documents.select(F.struct("*").alias("document"), F.concat_ws("/", host, key).alias("key"))
+    places = marks(depleted, "key")
+    far = rows.join(places, mark("key") == F.col("mark"), "left_anti")
+    near = rows.join(places, mark("key") == F.col("mark"), "left_semi").join(depleted, "key", "left_anti")
+    rows = far.unionByName(near).select("document.*")
     # the row number keeps the filter above the measures, which it would else be written into
-    rows = text_measures(documents, tuple(documents.columns)).withColumn("row", F.monotonically_increasing_id())
-    good = rows.filter((F.col("row") >= 0) & ~_base_failed(least_words, most_repeated))
-    return good.join(depleted.select("host", "text_hash"), ["host", "text_hash"], "left_anti").select("document.*")
+    rows = text_measures(rows, tuple(documents.columns)).withColumn("row", F.monotonically_increasing_id())
+    return rows.filter((F.col("row") >= 0) & ~_base_failed(least_words, most_repeated)).select("document.*")
