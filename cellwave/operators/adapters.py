@@ -74,7 +74,8 @@ def feature_arrays(sig: Signal, time_axis: str = "time", feature: str = "feature
 
 
 def to_image(
-    sig: Signal, height: str, width: str, channel_axes: Sequence[str] | None = None, stack_other: bool = True,
+    sig: Signal, height: str = "freq", width: str = "frame", channel_axes: Sequence[str] | None = None,
+    stack_other: bool = False,
     sizes: dict[str, int] | None = None,
 ) -> Signal:
     """Merge channel axes row-major; axes end in (channel, height, width)."""
@@ -89,40 +90,31 @@ def to_image(
     return merged.with_cells(merged.cells, [*rest, "channel", height, width])
 
 
-def _axis_groups(sig: Signal, contract: InputContract, axis_map, height, width, time, channel, flatten, stack_other):
-    def group(v) -> tuple[str, ...] | None:
-        return None if v is None else (v,) if isinstance(v, str) else tuple(v)
-
-    def pick(explicit: str | None, target: str) -> str:
-        mapped = group(axis_map.get(target))
-        if mapped is not None and len(mapped) != 1:
-            raise ValueError(f"axis_map[{target!r}] must name exactly one axis")
-        name = mapped[0] if mapped else explicit or target
-        if name not in sig.axes:
-            raise ValueError(f"no source axis for {target!r}; the signal has {sig.axes}")
-        return name
-
-    if contract.family == "image":
-        h, w = pick(height, "height"), pick(width, "width")
-        c = group(axis_map.get("channel")) or group(channel)
-        if c is None:
-            c = tuple(a for a in sig.axes if a not in (h, w, "batch")) if stack_other else ()
-        return (c, (h,), (w,))
-    if contract.family == "sequence":
-        t = pick(time, "time")
-        f = group(axis_map.get("feature")) or group(flatten)
-        return ((t,), f or tuple(a for a in sig.axes if a not in (t, "batch")))
-    if contract.family == "vector":
-        target = contract.axes[0]
-        return (group(axis_map.get(target)) or tuple(a for a in sig.axes if a != "batch"),)
-    if not axis_map:
-        if sig.axes == tuple(contract.axes):
-            return tuple((a,) for a in sig.axes)
-        raise ValueError(f"a generic contract {contract.axes} needs an axis_map for {sig.axes}")
-    missing = [a for a in contract.axes if a not in axis_map]
-    if missing:
-        raise ValueError(f"axis_map lacks {missing}")
-    return tuple(group(axis_map[a]) for a in contract.axes)
+#: How a family fills its axes: "own" takes the axis of that name, "rest" all axes that nothing else takes,
+#: "given" only what the caller names.
+FILL = {
+    "image": {"channel": "rest", "height": "own", "width": "own"},
+    "sequence": {"time": "own", "feature": "rest"},
+}
+
+
+def _members(sig: Signal, contract: InputContract, given: Mapping[str, tuple[str, ...]]) -> dict[str, tuple[str, ...]]:
+    """Source axes of each contract axis, row-major."""
+    free = [a for a in sig.axes if a != "batch"]
+    if contract.family == "generic" and not given and tuple(free) == tuple(contract.axes):
+        given = {a: (a,) for a in free}
+    fill = FILL.get(contract.family) or dict.fromkeys(contract.axes, "rest" if contract.family == "vector" else "given")
+    out = {a: given.get(a) or ((a,) if fill[a] == "own" else ()) for a in contract.axes}
+    taken = {m for members in out.values() for m in members}
+    rest = tuple(a for a in free if a not in taken)
+    out |= {a: rest for a in contract.axes if fill[a] == "rest" and not out[a]}
+    bad = {
+        a: members for a, members in out.items()
+        if not members or set(members) - set(free) or (fill[a] == "own" and len(members) > 1)
+    }
+    if bad:
+        raise ValueError(f"no axes of {tuple(free)} make up {sorted(bad)} of {tuple(contract.axes)}; got {bad}")
+    return out
 
 
 def auto_align(
@@ -134,16 +126,19 @@ def auto_align(
     time_axis: str | None = None,
     channel_axes: Sequence[str] | None = None,
     flatten_axes: Sequence[str] | None = None,
-    stack_other: bool = True,
     value: str = "auto",
     sizes: dict[str, int] | None = None,
 ) -> Signal:
-    """Group and rename axes to a model contract; resolved while the plan is built."""
-    groups = _axis_groups(
-        sig, contract, dict(axis_map or {}), height_axis, width_axis, time_axis, channel_axes, flatten_axes, stack_other
-    )
-    if not all(groups):
-        raise ValueError(f"could not resolve every axis of {contract.axes} from {sig.axes}")
+    """Group and rename axes to a model contract; resolved while the plan is built.
+
+    ``axis_map`` names the source axes of a contract axis and goes before the single arguments.
+    """
+    single = {
+        "height": height_axis, "width": width_axis, "time": time_axis, "channel": channel_axes, "feature": flatten_axes
+    }
+    named = {a: v for a, v in {**single, **(axis_map or {})}.items() if v and a in contract.axes}
+    given = {a: (v,) if isinstance(v, str) else tuple(v) for a, v in named.items()}
+    groups = list(_members(sig, contract, given).values())
     used = [a for g in groups for a in g]
     left = [a for a in sig.axes if a not in used and a != "batch"]
     if left:

@@ -45,8 +45,15 @@ def remap_labels(df: DataFrame, label: str, mapping: dict[int, int]) -> DataFram
 
 
 def join_coordinates(df: DataFrame, coordinates: DataFrame, label: str) -> DataFrame:
-    """Attach the coordinate list of each row's label."""
-    return df.join(coordinates, on=label)
+    """Attach the coordinate list of each row's label; rows whose label has none keep a null one."""
+    return df.join(coordinates, on=label, how="left")
+
+
+def require_coordinates(df: DataFrame, coordinates: DataFrame, label: str, position: str) -> None:
+    """Raise when a label has no coordinate or coordinates differ in length."""
+    found = coordinate_problems(df, coordinates, label, position).take(20)
+    if found:
+        raise ValueError("label coordinates: " + "; ".join(f"{r['problem']} {r['detail']}" for r in found))
 
 
 def coordinate_problems(df: DataFrame, coordinates: DataFrame, label: str, position: str) -> DataFrame:

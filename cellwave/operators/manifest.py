@@ -91,7 +91,7 @@ def require_split(df: DataFrame, split: str, candidate_fields: Sequence[str] = (
     """Raise when the split is empty, naming the fields that exist."""
     if get_split(df, split, candidate_fields=candidate_fields).isEmpty():
         fields = df.select(F.explode(F.map_keys("partitions")).alias("f")).distinct()
-        names = sorted(r["f"] for r in fields.limit(1000).collect())
+        names = fields.agg(F.array_sort(F.collect_set("f")).alias("names")).first()["names"]
         raise ValueError(f"split {split!r} is not available; partition fields: {names}")
 
 

@@ -16,10 +16,20 @@ from pyspark.sql import functions as F
 from cellwave.functions.columns import int_pow2_bucket, null_safe
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, or a temporary one in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="cellwave-")
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own in local mode and an error on a cluster."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="cellwave-")
+    return _own[context.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -35,8 +45,7 @@ def global_ordinal(
 ) -> tuple[DataFrame, int]:
     """Number all rows 0..n-1 in a total order; also return n.
 
-    Range partitioning spreads the sort; only one count per partition reaches
-    the driver. The order columns must be a total order.
+    Range partitioning spreads the sort; counts per partition are joined back. The order columns must be a total order.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -47,54 +56,28 @@ def global_ordinal(
     )
     pinned = cut_lineage(ranged)
     part = F.shiftright("_row", 33).cast("int")
-    sizes = {
-        r["p"]: r["c"]
-        for r in pinned.groupBy(part.alias("p")).agg(F.count("*").alias("c")).collect()
-    }
-    starts, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        starts.append(total)
-        total += sizes.get(p, 0)
-    base = F.element_at(F.array(*(F.lit(s).cast("bigint") for s in starts or [0])), part + 1)
+    pinned = pinned.withColumn("_part", part)
+    sizes = pinned.groupBy("_part").agg(F.count("*").alias("_size"))
+    # one row per partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     inside = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    return pinned.withColumn(name, base + inside).drop("_row"), total
-
-
-HOT_ROWS = 1_000_000
-HOT_KEYS = 10_000
+    placed = pinned.join(starts, "_part").withColumn(name, F.col("_start") + inside)
+    return placed.drop("_row", "_part", "_start"), pinned.count()
 
 
-def _hot_buckets(df: DataFrame, keys: list[str], bucket: Column, hot_rows: int) -> DataFrame:
-    """Add ``_bucket``: the bucket for keys with many rows, null for all others.
-
-    A key is hot above ``hot_rows`` and above 1/10000 of all rows, so there are
-    at most 10000 hot keys and the list is safe to broadcast.
-    """
-    if not keys:
-        return df.withColumn("_bucket", bucket)
-    floor = df.agg((F.count("*") / F.lit(HOT_KEYS)).alias("_floor")).scalar()
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_c"))
-    hot = counts.where(F.col("_c") > F.greatest(F.lit(float(hot_rows)), floor))
-    hot = hot.select(*keys, F.lit(True).alias("_hot"))
-    marked = null_safe(df, F.broadcast(hot), keys, "left")
-    return marked.withColumn("_bucket", F.when(F.col("_hot"), bucket)).drop("_hot")
-
-
-def bucketed_ordinal(
-    df: DataFrame, keys: list[str], order: list, bucket: Column, name: str = "pos", hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def bucketed_ordinal(df: DataFrame, keys: list[str], order: list, bucket: Column, name: str = "pos") -> DataFrame:
     """Number rows 0..n-1 within each key.
 
-    ``bucket`` must not decrease along ``order``; it splits the sort of hot keys.
+    ``bucket`` must not decrease along ``order``; it splits the sort of every key.
     """
-    rows = _hot_buckets(df, keys, bucket, hot_rows)
-    sizes = rows.where(F.col("_bucket").isNotNull()).groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
+    rows = df.withColumn("_bucket", bucket)
+    sizes = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
-    numbered = null_safe(rows.withColumn("_inside", inside), starts, [*keys, "_bucket"], "left")
-    place = F.coalesce(F.col("_start"), F.lit(0)) + F.col("_inside") - 1
-    return numbered.withColumn(name, place).drop("_bucket", "_inside", "_start")
+    numbered = null_safe(rows.withColumn("_inside", inside), starts, [*keys, "_bucket"])
+    return numbered.withColumn(name, F.col("_start") + F.col("_inside") - 1).drop("_bucket", "_inside", "_start")
 
 
 def first_rows_per_key(
@@ -104,17 +87,15 @@ def first_rows_per_key(
     bucket: Column,
     take: Callable[[Column], Column],
     name: str,
-    max_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Mark the first ``take(n)`` rows of each key, n being the key's row count.
 
-    Up to ``max_keys`` keys, rows are neither shuffled nor sorted: bucket counts
-    locate the one bucket per key that holds the last taken row, only that
-    bucket is ranked, and every row is compared with the row found there. More
-    keys than that are ranked with a window. The order columns must be a total
-    order and ``bucket`` must not decrease along it.
+    Rows are not sorted whole: bucket counts locate the one bucket per key that
+    holds the last taken row, only that bucket is ranked, and every row is
+    compared with the row found there. The order columns must be a total order
+    and ``bucket`` must not decrease along it. The table of last rows is joined,
+    which Spark broadcasts where it is small.
     """
-    spark = df.sparkSession
     place = F.struct(*order)
     rows = df.withColumn("_bucket", bucket)
     sizes = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
@@ -126,33 +107,19 @@ def first_rows_per_key(
     )
     edges = edges.where((F.col("_take") <= F.col("_upto")) & (F.col("_take") > F.col("_upto") - F.col("_size")))
     edges = edges.select(*keys, "_bucket", (F.col("_take") - F.col("_upto") + F.col("_size")).alias("_rank"))
-    found = edges.limit(max_keys + 1).collect()
-    if len(found) > max_keys:
-        totals = df.groupBy(*keys).agg(take(F.count("*")).alias("_take"))
-        ranked = null_safe(bucketed_ordinal(df, keys, order, bucket, "_rank"), totals, keys)
-        return ranked.withColumn(name, F.col("_rank") < F.col("_take")).drop("_rank", "_take")
-    # one row per key from here on, at most max_keys
-    edges = spark.createDataFrame(found, edges.schema)
     inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
     narrow = rows.select(*dict.fromkeys([*keys, *order]), "_bucket")
-    near = null_safe(narrow, F.broadcast(edges), [*keys, "_bucket"])
+    near = null_safe(narrow, edges, [*keys, "_bucket"])
     last = near.withColumn("_inside", inside).where(F.col("_inside") == F.col("_rank"))
-    last = last.select(*keys, place.alias("_last"))
-    # kept as rows so that later jobs do not search again
-    last = spark.createDataFrame(last.collect(), last.schema)
-    marked = null_safe(df, F.broadcast(last), keys, "left")
+    marked = null_safe(df, last.select(*keys, place.alias("_last")), keys, "left")
     return marked.withColumn(name, F.coalesce(place <= F.col("_last"), F.lit(False))).drop("_last")
 
 
-def bucketed_lag(
-    df: DataFrame, keys: list[str], order: str, bucket: Column, value: str, name: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Previous row's value within each key; hot keys carry it across bucket borders."""
-    rows = _hot_buckets(df, keys, bucket, hot_rows)
+def bucketed_lag(df: DataFrame, keys: list[str], order: str, bucket: Column, value: str, name: str) -> DataFrame:
+    """Previous row's value within each key, carried across bucket borders."""
+    rows = df.withColumn("_bucket", bucket)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
-    last = rows.where(F.col("_bucket").isNotNull()).groupBy(*keys, "_bucket").agg(
-        F.max_by(value, order).alias("_last")
-    )
+    last = rows.groupBy(*keys, "_bucket").agg(F.max_by(value, order).alias("_last"))
     carried = last.select(
         *keys,
         "_bucket",
@@ -162,7 +129,7 @@ def bucketed_lag(
         "_lagged", F.lag(value).over(inside)
     )
     return (
-        null_safe(marked, carried, [*keys, "_bucket"], "left")
+        null_safe(marked, carried, [*keys, "_bucket"])
         .withColumn(name, F.when(F.col("_inside") == 1, F.col("_carried")).otherwise(F.col("_lagged")))
         .drop("_bucket", "_inside", "_lagged", "_carried")
     )

@@ -113,7 +113,7 @@ def phase_calibration(sig: Signal, axis: str = "subc") -> Signal:
     ))
 
 
-def csi_ratio(sig: Signal, rx_num: int = 0, rx_den: int = 1, axis: str = "rx") -> Signal:
+def csi_ratio(sig: Signal, rx_num: int = 1, rx_den: int = 0, axis: str = "rx") -> Signal:
     """Quotient of two receive streams; the rx axis drops."""
     sig.require(axis, kind="complex")
 

@@ -146,7 +146,7 @@ def _unframed(done: DataFrame, keys: Sequence[str], per_chunk: int, bins: int, a
 
 
 def stft(
-    sig: Signal, axis: str = "time", n_fft: int = 64, hop: int | None = None, win_length: int | None = None,
+    sig: Signal, axis: str = "time", n_fft: int = 256, hop: int | None = None, win_length: int | None = None,
     window: Sequence[float] | None = None, center: bool = True, pad_mode: str = "reflect", normalized: bool = False,
     onesided: bool | None = None, sizes: dict[str, int] | None = None, span: int = 8192,
 ) -> Signal:
@@ -251,7 +251,7 @@ def _chunk_windows(sig: Signal, axis: str, chunk: int, before: int, after: int)
 
 
 def autocorrelation(
-    sig: Signal, axis: str = "time", max_lag: int | None = None, normalized: bool = True, value: str = "magnitude",
+    sig: Signal, axis: str = "time", max_lag: int | None = None, normalized: bool = True, value: str = "real",
     chunk: int = 65536, long_series: bool = False,
 ) -> Signal:
     """Autocorrelation at lags 0..max_lag, divided by lag 0 if normalised.
@@ -322,8 +322,8 @@ def wavelet_kernels(
 
 
 def wavelet_scalogram(
-    sig: Signal, sample_rate: float, axis: str = "time", num_frequencies: int = 16, min_hz: float = 1.0,
-    max_hz: float | None = None, cycles: float = 6.0, value: str = "magnitude", chunk: int = 65536,
+    sig: Signal, sample_rate: float, axis: str = "time", num_frequencies: int = 32, min_hz: float = 1.0,
+    max_hz: float | None = None, cycles: float = 6.0, value: str = "real", chunk: int = 65536,
 ) -> Signal:
     """Morlet response modulus; axes end in (pseudo_freq, frame)."""
     sig.require(axis)
@@ -398,7 +398,7 @@ def map_block(
 
 
 def beamform(
-    sig: Signal, sample_rate: float, angles_deg: Sequence[float], mic_spacing: float = 0.02,
+    sig: Signal, sample_rate: float, angles_deg: Sequence[float], mic_spacing: float = 0.01,
     mic_positions: Sequence[float] | None = None, speed: float = SPEED_OF_SOUND,
 ) -> Signal:
     """Delay-and-sum over microphones in the frequency domain; mic becomes angle."""

@@ -65,11 +65,20 @@ def _explicit_sides(df, field, left_values, right_values) -> DataFrame:
         both = set(left_values) & set(right_values)
         if both:
             raise ValueError(f"overlapping group assignments: {sorted(map(str, both))}")
-    if left_values is not None:
-        is_left = F.col(field).isin(list(left_values))
-    else:
-        is_left = ~F.col(field).isin(list(right_values))
-    return df.withColumn("side", F.when(is_left, "left").otherwise("right"))
+    # a side without a list takes the groups that the other does not name; null groups have none
+    value = F.col(field)
+    is_left = value.isin(list(left_values)) if left_values is not None else ~value.isin(list(right_values))
+    is_right = value.isin(list(right_values)) if right_values is not None else ~value.isin(list(left_values))
+    return df.withColumn("side", F.when(is_left, "left").when(is_right, "right"))
+
+
+def require_group_sides(
+    df: DataFrame, field: str, left_values: Sequence | None = None, right_values: Sequence | None = None
+) -> None:
+    """Raise when a row has no group, a group no side, or a side no group."""
+    found = group_side_problems(df, field, left_values, right_values).take(20)
+    if found:
+        raise ValueError("group sides: " + "; ".join(f"{r['problem']} {r['group']}" for r in found))
 
 
 def group_side_problems(
@@ -264,10 +273,25 @@ def metadata_split(
     required: Sequence[str] = ("train", "test"),
     optional: Sequence[str] = ("val",),
 ) -> DataFrame:
-    """Keep rows whose declared split is supported."""
+    """Keep rows whose declared split is supported; ``split_problems`` tells what is missing."""
     return df.where(F.col(split).isin([*required, *optional]))
 
 
+def split_problems(df: DataFrame, split: str = "split", required: Sequence[str] = ("train", "test")) -> DataFrame:
+    """``problem, detail``: a row for each required split that no row declares."""
+    found = df.agg(F.collect_set(F.when(F.col(split).isin(list(required)), F.col(split))).alias("found"))
+    wanted = F.array(*(F.lit(r) for r in required))
+    lacking = found.select(F.explode(F.array_except(wanted, "found")).alias("detail"))
+    return lacking.select(F.lit("missing_split").alias("problem"), "detail")
+
+
+def require_splits(df: DataFrame, split: str = "split", required: Sequence[str] = ("train", "test")) -> None:
+    """Raise when a required split is missing."""
+    lacking = sorted(r["detail"] for r in split_problems(df, split, required).collect())
+    if lacking:
+        raise ValueError(f"required splits are missing: {lacking}")
+
+
 def id_list_split(
     df: DataFrame, ids: DataFrame, sample: str = "sample_id", listed: str = "id"
 ) -> DataFrame:

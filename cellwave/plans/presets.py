@@ -1,149 +1,43 @@
-"""Presets: step lists with ``$param`` templates, resolved while the plan is built."""
+"""Presets: common chains as functions that return one composed step."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
-from typing import Any
+from collections.abc import Sequence
 
-from cellwave.model import Signal
-from cellwave.operators import adapters, normalize, radar, series, spectral
+from cellwave.operators import adapters, normalize, radar, series
 from cellwave.plans.compose import Step, compose, step
 
-# operator names as presets spell them
-OPERATORS: dict[str, Callable[..., Signal]] = {
-    "SubcarrierL1Normalize": normalize.subcarrier_l1,
-    "AdjacentRxConjugate": series.adjacent_rx_conjugate,
-    "ConjugateWithReferenceRx": series.reference_rx_conjugate,
-    "TemporalFilter": series.temporal_filter,
-    "HampelFilter": series.hampel_filter,
-    "PhaseCalibration": series.phase_calibration,
-    "Magnitude": normalize.magnitude,
-    "AmplitudePhase": normalize.amplitude_phase,
-    "Normalize": normalize.normalize,
-    "AxisNormalize": normalize.axis_normalize,
-    "SampleZScoreNormalize": normalize.sample_zscore,
-    "STFT": spectral.stft,
-    "DenseDFSAmplitude": spectral.dense_doppler,
-    "RangeFFT": radar.range_fft,
-    "DopplerFFT": radar.doppler_fft,
-    "AngleFFT": radar.angle_fft,
-    "ToSequence": adapters.to_sequence,
-    "ToImage": adapters.to_image,
-    "AutoAlign": adapters.auto_align,
-}
-# preset parameter names that differ from the operators'
-RENAMED = {
-    "lowpass_cutoff_hz": "lowpass_hz", "highpass_cutoff_hz": "highpass_hz", "num_angle_bins": "num_bins",
-    "axis_name": "axis", "model_or_contract": "contract", "window_size": "window",
-}
-# parameters an operator does not need here, by operator
-IGNORED = {"AdjacentRxConjugate": {"skip_reader_ids"}, "TemporalFilter": {"skip_reader_ids"}}
 
-
-def lookup(context: Mapping[str, Any], path: str) -> Any:
-    value: Any = context
-    for part in path.split("."):
-        if not isinstance(value, Mapping) or part not in value:
-            raise KeyError(f"unknown preset placeholder ${path}")
-        value = value[part]
-    return value
-
-
-def resolve(value: Any, context: Mapping[str, Any]) -> Any:
-    if isinstance(value, str) and value.startswith("$"):
-        return lookup(context, value[1:])
-    if isinstance(value, Mapping):
-        return {k: resolve(v, context) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        return [resolve(v, context) for v in value]
-    return value
-
-
-def preset_steps(preset: Mapping[str, Any], variant: str, params: Mapping[str, Any] | None = None) -> list[dict]:
-    """Steps of one variant with parameters filled in and disabled steps left out."""
-    if variant not in preset["variants"]:
-        raise KeyError(f"variant {variant!r} is not defined; known: {sorted(preset['variants'])}")
-    context = {**preset.get("defaults", {}), **(params or {})}
-    contract = preset.get("contracts", {}).get(variant)
-    if contract is not None:
-        context.setdefault("output_contract", contract)
-    steps = []
-    for entry in preset["variants"][variant]["steps"]:
-        if "enabled_if" in entry and not resolve(entry["enabled_if"], context):
-            continue
-        done = resolve({k: v for k, v in entry.items() if k != "enabled_if"}, context)
-        if not done.get("operator_id"):
-            raise ValueError(f"variant {variant!r} has a step without operator_id")
-        steps.append(done)
-    return steps
-
-
-def build_preset(preset: Mapping[str, Any], variant: str, params: Mapping[str, Any] | None = None) -> Step:
-    """One composed step for a preset variant."""
-    built = []
-    for entry in preset_steps(preset, variant, params):
-        name = entry["operator_id"]
-        if name not in OPERATORS:
-            raise KeyError(f"unknown operator {name!r}; known: {sorted(OPERATORS)}")
-        given = {k: v for k, v in (entry.get("params") or {}).items() if k not in IGNORED.get(name, ())}
-        if name == "DenseDFSAmplitude":
-            args = given
-        else:
-            args = {RENAMED.get(k, k): v for k, v in given.items()}
-        if isinstance(args.get("contract"), Mapping):
-            c = args["contract"]
-            args["contract"] = adapters.InputContract(
-                tuple(c["axes"]), c.get("dtype_kind", "real"), c.get("fixed_sizes") or {}
-            )
-        built.append(step(OPERATORS[name], **args))
-    return compose(*built)
-
-
-def load_preset(path: str) -> dict[str, Any]:
-    """Read a preset file; needs the optional yaml package."""
-    try:
-        import yaml
-    except ImportError as e:
-        raise RuntimeError("reading preset files needs PyYAML; pass a dict instead") from e
-    with open(path, encoding="utf-8") as f:
-        return yaml.safe_load(f)
-
-
-def radar_cube_preset() -> Mapping[str, Any]:
+def radar_cube(window: str = "hann", num_bins: int = 64) -> Step:
     """Range, Doppler and angle FFT in a row."""
-    steps = [
-        {"operator_id": "RangeFFT", "params": {"axis": "adc", "window": "$window"}},
-        {"operator_id": "DopplerFFT", "params": {"axis": "chirp", "window": "$window"}},
-        {"operator_id": "AngleFFT", "params": {"axis": "ant", "num_angle_bins": "$num_angle_bins"}},
-    ]
-    return {"defaults": {"window": "hann", "num_angle_bins": 64}, "variants": {"default": {"steps": steps}}}
-
-
-def csi_sequence_preset() -> Mapping[str, Any]:
+    return compose(
+        step(radar.range_fft, axis="adc", window=window),
+        step(radar.doppler_fft, axis="chirp", window=window),
+        step(radar.angle_fft, axis="ant", num_bins=num_bins),
+    )
+
+
+def csi_sequence(
+    sample_rate: float = 1000,
+    # fixed values: cut-offs and orders of the published chain
+    lowpass_hz: float = 60.0,
+    highpass_hz: float = 2.0,
+    lowpass_order: int = 6,
+    highpass_order: int = 3,
+    sample_zscore: bool = False,
+    feature_axes: Sequence[str] = ("subc", "tx", "rx", "feature"),
+) -> Step:
     """Cleaned CSI as (time, feature) amplitude and phase sequences."""
-    band = {"lowpass_cutoff_hz": 60.0, "highpass_cutoff_hz": 2.0, "lowpass_order": 6, "highpass_order": 3}
-    steps = [
-        {"operator_id": "SubcarrierL1Normalize", "params": {"skip_reader_ids": "$skip_reader_ids"}},
-        {"operator_id": "AdjacentRxConjugate"},
-        {"operator_id": "TemporalFilter", "params": {"sample_rate": "$sample_rate", **{k: f"$band.{k}" for k in band}}},
-        {"operator_id": "AmplitudePhase"},
-        {
-            "operator_id": "SampleZScoreNormalize", "enabled_if": "$apply_sample_zscore",
-            "params": {"exclude_axes": ["feature"]},
-        },
-        {
-            "operator_id": "AutoAlign",
-            "params": {
-                "model_or_contract": "$output_contract", "time_axis": "time",
-                "axis_map": {"feature": "$feature_axes"}, "value": "identity",
-            },
-        },
+    clean = [
+        step(normalize.subcarrier_l1),
+        step(series.adjacent_rx_conjugate),
+        step(
+            series.temporal_filter, sample_rate=sample_rate, lowpass_hz=lowpass_hz, highpass_hz=highpass_hz,
+            lowpass_order=lowpass_order, highpass_order=highpass_order,
+        ),
+        step(normalize.amplitude_phase),
     ]
-    return {
-        "defaults": {
-            "sample_rate": 1000, "skip_reader_ids": [], "apply_sample_zscore": False, "band": band,
-            "feature_axes": ["subc", "tx", "rx", "feature"],
-        },
-        "contracts": {"sequence_real": {"axes": ["time", "feature"], "dtype_kind": "real", "fixed_sizes": {}}},
-        "variants": {"sequence_real": {"steps": steps}},
-    }
+    scaled = [step(normalize.sample_zscore, exclude_axes=["feature"])] if sample_zscore else []
+    contract = adapters.InputContract(("time", "feature"))
+    shaped = step(adapters.auto_align, contract=contract, axis_map={"feature": tuple(feature_axes)}, value="identity")
+    return compose(*clean, *scaled, shaped)

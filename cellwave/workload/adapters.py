@@ -32,7 +32,7 @@ def _(t):
 
 @query("to_image", f"""WITH {real_sql(rx=2, freq=8, tx=2, frame=2)} SELECT sample_id, rx * 2 + tx AS channel, freq, frame, round(value, 6) + 0.0 AS value FROM c""")
 def _(t):
-    return rounded(adapters.to_image(real_signal(t, rx=2, freq=8, tx=2, frame=2), "freq", "frame"))
+    return rounded(adapters.to_image(real_signal(t, rx=2, freq=8, tx=2, frame=2), "freq", "frame", stack_other=True))
 
 
 @query("auto_align_sequence", f"""WITH {complex_sql(**TSR)} SELECT sample_id, time, subc * 2 + rx AS feature, round(sqrt(re * re + im * im), 6) + 0.0 AS value FROM c""")
@@ -133,16 +133,11 @@ def _(t):
 
 @query("radar_cube_preset", f"WITH {CUBE_SQL} SELECT sample_id, doppler, range, angle, {ROUND} FROM cube")
 def _(t):
-    preset = presets.build_preset(presets.radar_cube_preset(), "default", {"num_angle_bins": 4})
-    return rounded(preset(complex_signal(t, **CUBE)), 5)
+    return rounded(presets.radar_cube(num_bins=4)(complex_signal(t, **CUBE)), 5)
 
 
 @query("csi_sequence_preset")
 def _(t):
     sig = complex_signal(t, samples=sample_table(t), time=16, subc=1, tx=1, rx=2)
-    band = {"lowpass_cutoff_hz": 60.0, "highpass_cutoff_hz": 2.0, "lowpass_order": 2, "highpass_order": 1}
-    preset = presets.build_preset(
-        presets.csi_sequence_preset(), "sequence_real",
-        {"band": band, "skip_reader_ids": ["reader1"], "apply_sample_zscore": True},
-    )
+    preset = presets.csi_sequence(lowpass_order=2, highpass_order=1, sample_zscore=True)
     return rounded(preset(sig), 5)

@@ -12,7 +12,6 @@ from cellwave.functions.ship import ship_package
 FAMILIES = (
     "manifest",
     "evaluation",
-    "evaluation",
     "axes",
     "elementwise",
     "series",

@@ -91,7 +91,7 @@ def _(t):
 @query("autocorrelation_full", f"""WITH {complex_sql(time=16, rx=2)}, m AS (SELECT *, sqrt(re * re + im * im) AS v FROM c)
 SELECT x.sample_id, x.rx, y.time - x.time AS lag, round(sum(x.v * y.v), 5) + 0.0 AS value FROM m x JOIN m y ON x.sample_id = y.sample_id AND x.rx = y.rx AND y.time >= x.time GROUP BY 1, 2, 3""")
 def _(t):
-    return rounded(spectral.autocorrelation(complex_signal(t, time=16, rx=2), normalized=False), 5)
+    return rounded(spectral.autocorrelation(complex_signal(t, time=16, rx=2), normalized=False, value="magnitude"), 5)
 
 
 @query("wavelet_scalogram", f"""WITH {EVENT_SERIES_SQL},

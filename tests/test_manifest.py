@@ -34,7 +34,7 @@ def test_group_split_two_fields(spark):
 def test_side_problems(spark):
     df = frame(spark, [(1,), (2,), (None,)], "g int")
     found = {(r.problem, r.group) for r in splits.group_side_problems(df, "g", [1], [3]).collect()}
-    assert found == {("missing_key", None), ("uncovered", "2")}
+    assert found == {("missing_key", None), ("uncovered", "2"), ("empty_side", "right")}
     empty = splits.group_side_problems(df.where("g = 1"), "g", [1], None).collect()
     assert [(r.problem, r.group) for r in empty] == [("empty_side", "right")]
 
@@ -157,3 +157,33 @@ def test_sample_ids(spark):
     assert [r.resolved_id for r in manifest.resolve_sample_ids(df).orderBy("pos").collect()] == ["a", "b"]
     none = df.drop("record_id")
     assert [r.resolved_id for r in manifest.resolve_sample_ids(none).orderBy("pos").collect()] == ["sample-000000", "sample-000001"]
+
+
+def test_rows_without_a_side_stay_visible(spark):
+    df = frame(spark, [(1, "a"), (2, "b"), (3, "c"), (4, None)], "sample_id int, g string")
+    got = {r.sample_id: r.side for r in splits.group_split(df, "g", left_values=["a"], right_values=["b"]).collect()}
+    assert got == {1: "left", 2: "right", 3: None, 4: None}
+    one = {r.sample_id: r.side for r in splits.group_split(df, "g", left_values=["a"]).collect()}
+    assert one == {1: "left", 2: "right", 3: "right", 4: None}
+    with pytest.raises(ValueError, match="uncovered c"):
+        splits.require_group_sides(df, "g", ["a"], ["b"])
+    splits.require_group_sides(df.where("sample_id < 3"), "g", ["a"], ["b"])
+
+
+def test_required_splits(spark):
+    df = frame(spark, [(1, "train"), (2, None), (3, "other")], "sample_id int, split string")
+    assert [(r.problem, r.detail) for r in splits.split_problems(df).collect()] == [("missing_split", "test")]
+    with pytest.raises(ValueError, match="test"):
+        splits.require_splits(df)
+    splits.require_splits(df, required=("train",))
+
+
+def test_labels_without_coordinates_stay(spark):
+    from cellwave.operators import labels
+
+    df = frame(spark, [(1, 0), (2, 7)], "sample_id int, label int")
+    spots = frame(spark, [(0, [1.0, 2.0])], "label int, position array<double>")
+    got = {r.sample_id: r.position for r in labels.join_coordinates(df, spots, "label").collect()}
+    assert got == {1: [1.0, 2.0], 2: None}
+    with pytest.raises(ValueError, match="missing_coordinate 7"):
+        labels.require_coordinates(df, spots, "label", "position")

@@ -160,7 +160,7 @@ def test_adjacent_conjugate_cases(spark):
 def test_csi_ratio_guards_zero(spark):
     x = noise(3, 2)
     x[1, 1] = 0
-    out = series.csi_ratio(to_signal(spark, [x], ["time", "rx"]))
+    out = series.csi_ratio(to_signal(spark, [x], ["time", "rx"]), 0, 1)
     den = np.where(np.abs(x[:, 1]) < 1e-10, 1e-10, x[:, 1])
     check(out, [x[:, 0] / den])
 
