@@ -9,12 +9,12 @@ significant bit first, and begins at a whole byte, so any range of tokens is rea
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -126,8 +126,11 @@ def write_tokens(documents: DataFrame, place: str, vocabulary: str = WORD_BPE, e
     ordered.mapInArrow(encoded, "segment binary").select(F.col("segment").cast("string").alias("value")).write.text(place)
 
 
-def read_tokens(spark: SparkSession, place: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` of every document: ``start`` counts the ids of all documents before it."""
+def read_tokens(spark: SparkSession, place: str, columns: Sequence[str | Column] = ("ids",)) -> DataFrame:
+    """``doc_id, start, n_tokens`` and ``columns`` of every document: ``start`` counts the ids of all documents before it.
+
+    ``columns`` are made from ``ids`` (little-endian 32-bit ids) before rows move to meet their starts.
+    """
     files = spark.read.format("binaryFile").load(place).select("content")
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +164,7 @@ def read_tokens(spark: SparkSession, place: str) -> DataFrame:
     before = W.Window.orderBy("part", "number").rowsBetween(W.Window.unboundedPreceding, -1)
     bases = sizes.select("part", "number", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     rows = files.mapInArrow(documents, "part long, number long, doc_id long, local long, n_tokens long, ids binary")
-    return rows.join(bases, ["part", "number"]).select(
-        "doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids"
+    rows = rows.select("part", "number", "doc_id", "local", "n_tokens", *columns)
+    return rows.join(bases, ["part", "number"]).withColumn("start", F.col("base") + F.col("local")).drop(
+        "part", "number", "base", "local"
     )

@@ -144,7 +144,7 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_bit_packed_tokens(spark: SparkSession, folder: str) -> DataFrame:
     place = new_place(shipped(spark), "token-files")
     token_files.write_tokens(table(spark, folder, "documents"), place)
-    return token_files.read_tokens(spark, place).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return token_files.read_tokens(spark, place, [F.crc32("ids").alias("ids_crc32")])
 
 
 @query(
