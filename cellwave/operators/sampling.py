@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwave.functions.columns import shuffle_key
-from cellwave.operators.ordinal import bucketed_ordinal, running_sum
+from cellwave.operators.ordinal import bucketed_lag, bucketed_ordinal, running_sum
+
+CELL_STEP = 1024
 
 
 def shuffled_order(df: DataFrame, sample: str, seed: int, name: str = "order") -> DataFrame:
@@ -35,19 +37,22 @@ def weighted_resample(
 
     ``pos`` numbers the rows 0..n-1. Weight space is cut into even cells; each
     row is listed in the cells its interval touches and each draw falls in one,
-    so a cell sees a handful of draws whatever the weights are.
+    so a cell sees a handful of draws whatever the weights are. An interval
+    begins where the one before it ends, to the last bit, so no draw is lost.
     """
     weighed = df.where(F.col(weight) > 0)
     placed = running_sum(weighed, [], pos, F.col(weight), "_upto", chunk)
-    totals = df.agg(
-        F.sum(F.when(F.col(weight) > 0, F.col(weight))).alias("_sum"), F.count("*").alias("_n")
-    )
-    total = totals.select("_sum").scalar()
-    cells = F.greatest(F.lit(1.0), F.ceil(totals.select("_n").scalar() / F.lit(16.0)))
-    low = (F.col("_upto") - F.col(weight)) / total
-    spans = placed.withColumns({"_low": low, "_high": F.col("_upto") / total}).withColumn(
-        "_cell", F.explode(F.sequence(F.floor(F.col("_low") * cells), F.floor(F.col("_high") * cells)))
-    )
+    placed = bucketed_lag(placed, [], pos, F.floor(F.col(pos) / F.lit(chunk)), "_upto", "_from")
+    total = placed.agg(F.max("_upto")).scalar()
+    cells = F.greatest(F.lit(1.0), F.ceil(df.agg(F.count("*")).scalar() / F.lit(16.0)))
+    low = F.coalesce(F.col("_from"), F.lit(0.0)) / total
+    spans = placed.withColumns({"_low": low, "_high": F.col("_upto") / total})
+    first, last = F.floor(F.col("_low") * cells), F.floor(F.col("_high") * cells)
+    # two steps, so that a row of most of the weight makes no long array
+    step = F.lit(CELL_STEP)
+    spans = spans.withColumn("_outer", F.explode(F.sequence(F.floor(first / step), F.floor(last / step))))
+    inner = F.sequence(F.greatest(first, F.col("_outer") * step), F.least(last, F.col("_outer") * step + step - 1))
+    spans = spans.withColumn("_cell", F.explode(inner)).drop("_outer", "_from")
     draws = (
         df.select(F.col(pos).alias("draw"))
         .withColumn("_u", uniform_draw("draw", seed))

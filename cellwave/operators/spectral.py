@@ -81,6 +81,27 @@ def frame_coordinates(sig: Signal, frames: DataFrame, hop: int, axis: str = "fra
     )
 
 
+def short_series(
+    sig: Signal, axis: str = "time", n_fft: int = 256, center: bool = True, pad_mode: str = "reflect",
+    sizes: dict[str, int] | None = None,
+) -> DataFrame:
+    """Sample and series keys with ``length`` where a series is too short for one frame."""
+    pad = n_fft // 2 if center else 0
+    rows = with_lengths(sig, axis, sizes=sizes).withColumn("length", F.col(f"_len_{axis}"))
+    n = F.col("length")
+    short = n + 2 * pad < n_fft
+    if center and pad_mode == "reflect":
+        short = short | (n <= pad)
+    return rows.where(short).select(*sig.keys(axis), "length").distinct()
+
+
+def require_frames(sig: Signal, axis: str = "time", n_fft: int = 256, center: bool = True, pad_mode: str = "reflect") -> None:
+    """Raise when a series is too short for one frame."""
+    found = short_series(sig, axis, n_fft, center, pad_mode).take(5)
+    if found:
+        raise ValueError(f"series too short for n_fft={n_fft}: {[r.asDict() for r in found]}")
+
+
 def _framed(
     sig: Signal, axis: str, n_fft: int, hop: int, pad_mode: str | None, sizes: dict[str, int] | None, span: int
 ) -> tuple[DataFrame, int]:
@@ -104,6 +125,9 @@ def _framed(
     q = F.col("_q")
     last = F.least(frames - 1, F.floor(q / F.lit(hop)))
     first = F.least(last, F.greatest(F.lit(0), F.ceil((q - n_fft + 1) / F.lit(hop))))
+    if pad_mode == "reflect":
+        # a series can't be reflected further than it is long
+        rows = rows.where(n > pad)
     # samples after the last frame belong to none
     rows = rows.withColumns({"_first": first, "_last": last, "_total": frames}).where(
         (F.col("_total") > 0) & (q < (F.col("_total") - 1) * F.lit(hop) + n_fft)

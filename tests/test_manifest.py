@@ -187,3 +187,14 @@ def test_labels_without_coordinates_stay(spark):
     assert got == {1: [1.0, 2.0], 2: None}
     with pytest.raises(ValueError, match="missing_coordinate 7"):
         labels.require_coordinates(df, spots, "label", "position")
+
+
+def test_a_row_of_nearly_all_weight_loses_no_draw(spark):
+    from cellwave.operators import sampling
+
+    n = 40000
+    df = spark.range(n).select(F.col("id").alias("pos"), F.when(F.col("id") == 700, 1e9).otherwise(0.1).alias("w"))
+    got = sampling.weighted_resample(df, "w", 5, chunk=1000)
+    rows, draws = got.agg(F.count("*"), F.count_distinct("draw")).first()
+    assert rows == draws == n
+    assert got.where("pos = 700").count() > 0.999 * n

@@ -432,3 +432,13 @@ def test_long_autocorrelation_equals_packed(spark):
     sig = to_signal(spark, x, ["time"])
     packed = spectral.autocorrelation(sig)
     check(spectral.autocorrelation(sig, long_series=True), to_arrays(packed))
+
+
+def test_short_series_give_no_frames(spark):
+    sig = to_signal(spark, [np.arange(8.0)], ["time"])
+    for center in (True, False):
+        assert spectral.stft(sig, n_fft=64, center=center).cells.count() == 0
+        assert [r.length for r in spectral.short_series(sig, n_fft=64, center=center).collect()] == [8]
+    with pytest.raises(ValueError, match="too short"):
+        spectral.require_frames(sig, n_fft=64)
+    assert spectral.short_series(sig, n_fft=8).count() == 0
