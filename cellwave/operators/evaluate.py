@@ -205,45 +205,94 @@ def evaluate_splits(
     return long.unionByName(skipped)
 
 
-def cross_entropy(logits: str | Column, target: str | Column) -> Column:
-    """``-log softmax(logits)[target]`` per row."""
-    z = (F.col(logits) if isinstance(logits, str) else logits).cast("array<double>")
-    t = F.col(target) if isinstance(target, str) else target
+def _column(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _log_total(z: Column) -> Column:
     top = F.array_max(z)
-    total = F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return top + F.log(total) - F.element_at(z, t.cast("int") + 1)
+    return top + F.log(F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+
+
+def cross_entropy(
+    logits: str | Column, target: str | Column, label_smoothing: float = 0.0, weight: Sequence[float] | None = None
+) -> Column:
+    """``-log softmax(logits)[target]`` per row; smoothing mixes in all classes, ``weight`` scales by class."""
+    z, place = _column(logits).cast("array<double>"), _column(target).cast("int") + 1
+    loss = _log_total(z) - F.element_at(z, place)
+    scale = F.array(*map(F.lit, weight)) if weight else None
+    if scale is not None:
+        loss = loss * F.element_at(scale, place)
+    if label_smoothing:
+        each = F.transform(z, lambda x: _log_total(z) - x)
+        if scale is not None:
+            each = F.zip_with(each, scale, lambda x, w: x * w)
+        rest = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(z)
+        loss = (1 - label_smoothing) * loss + label_smoothing * rest
+    return loss
+
 
+def nll(log_probs: str | Column, target: str | Column, weight: Sequence[float] | None = None) -> Column:
+    """Negative log probability of the target class."""
+    place = _column(target).cast("int") + 1
+    loss = -F.element_at(_column(log_probs).cast("array<double>"), place)
+    return loss * F.element_at(F.array(*map(F.lit, weight)), place) if weight else loss
 
-def _element_loss(fn: Callable[[Column], Column]) -> Callable[[str, str], Column]:
-    def loss(pred: str, target: str) -> Column:
-        parts = F.zip_with(
-            F.col(pred).cast("array<double>"), F.col(target).cast("array<double>"),
-            lambda p, t: fn(p - t),
-        )
+
+def _mean_loss(fn: Callable[[Column, Column], Column]) -> Callable[[str | Column, str | Column], Column]:
+    """Mean over elements of ``fn(prediction, target)``."""
+
+    def loss(pred: str | Column, target: str | Column) -> Column:
+        parts = F.zip_with(_column(pred).cast("array<double>"), _column(target).cast("array<double>"), fn)
         return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts)
 
     return loss
 
 
-def _smooth_l1(e: Column) -> Column:
-    a = F.abs(e)
-    return F.when(a < 1, 0.5 * a * a).otherwise(a - 0.5)
+def _smooth_l1(beta: float = 1.0) -> Callable[[Column, Column], Column]:
+    def fn(p: Column, t: Column) -> Column:
+        a = F.abs(p - t)
+        return F.when(a < beta, 0.5 * a * a / F.lit(float(beta or 1))).otherwise(a - 0.5 * beta)
+
+    return fn
+
+
+def _huber(delta: float = 1.0) -> Callable[[Column, Column], Column]:
+    def fn(p: Column, t: Column) -> Column:
+        a = F.abs(p - t)
+        return F.when(a <= delta, 0.5 * a * a).otherwise(delta * (a - 0.5 * delta))
+
+    return fn
+
+
+def _bce(p: Column, t: Column) -> Column:
+    # logarithms are held at -100, so that certain errors stay finite
+    return -(t * F.greatest(F.log(p), F.lit(-100.0)) + (1 - t) * F.greatest(F.log1p(-p), F.lit(-100.0)))
+
+
+def _bce_logits(z: Column, t: Column) -> Column:
+    return F.greatest(z, F.lit(0.0)) - z * t + F.log1p(F.exp(-F.abs(z)))
 
 
-LOSSES: dict[str, Callable[[str, str], Column]] = {
-    "cross_entropy": cross_entropy,
-    "mse_loss": _element_loss(lambda e: e * e),
-    "l1_loss": _element_loss(F.abs),
-    "smooth_l1_loss": _element_loss(_smooth_l1),
+#: Losses by name: each takes its parameters and gives a function of prediction and target columns.
+LOSSES: dict[str, Callable[..., Callable[[str | Column, str | Column], Column]]] = {
+    "cross_entropy": lambda **kw: lambda p, t: cross_entropy(p, t, **kw),
+    "nll_loss": lambda **kw: lambda p, t: nll(p, t, **kw),
+    "mse_loss": lambda: _mean_loss(lambda p, t: (p - t) * (p - t)),
+    "l1_loss": lambda: _mean_loss(lambda p, t: F.abs(p - t)),
+    "smooth_l1_loss": lambda beta=1.0: _mean_loss(_smooth_l1(beta)),
+    "huber_loss": lambda delta=1.0: _mean_loss(_huber(delta)),
+    "binary_cross_entropy": lambda: _mean_loss(_bce),
+    "binary_cross_entropy_with_logits": lambda: _mean_loss(_bce_logits),
 }
 
 
-def row_loss(objective: str) -> Callable[[str, str], Column]:
-    """Loss by name, with or without the ``_loss`` suffix."""
+def row_loss(objective: str, **params) -> Callable[[str | Column, str | Column], Column]:
+    """Loss by name, with or without the ``_loss`` suffix, and its parameters."""
     name = objective.strip()
     for candidate in (name, f"{name}_loss"):
         if candidate in LOSSES:
-            return LOSSES[candidate]
+            return LOSSES[candidate](**params)
     raise ValueError(f"unsupported loss {objective!r}; available: {sorted(LOSSES)}")
 
 

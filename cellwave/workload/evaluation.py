@@ -201,6 +201,34 @@ def _(t):
     )
 
 
+@query("row_losses_with_params", f"""WITH {P_SQL},
+ e AS (SELECT sample_id, unnest(x) * 30 - 1 AS e, unnest(x) AS z, target % 2 AS y FROM p),
+ m AS (SELECT sample_id, avg(CASE WHEN abs(e) < 0.5 THEN e * e ELSE abs(e) - 0.25 END) AS smooth_l1,
+   avg(CASE WHEN abs(e) <= 2 THEN 0.5 * e * e ELSE 2 * (abs(e) - 1) END) AS huber,
+   avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) AS bce_logits,
+   avg(-(y * ln(1 / (1 + exp(-z))) + (1 - y) * ln(1 - 1 / (1 + exp(-z))))) AS bce FROM e GROUP BY 1),
+ c AS (SELECT sample_id, target, logits, ln(list_sum(list_transform(x, lambda v: exp(v)))) AS total, x FROM p),
+ d AS (SELECT sample_id, 0.9 * (1 + target % 3) * (total - x[target + 1])
+   + 0.1 * list_avg(list_transform(range(len(x)), lambda k: (1 + k % 3) * (total - x[k + 1]))) AS smoothed,
+   (1 + target % 3) * (total - x[target + 1]) AS nll FROM c)
+SELECT sample_id, round(smooth_l1, 6) AS smooth_l1, round(huber, 6) AS huber, round(bce_logits, 6) AS bce_logits,
+ round(bce, 6) AS bce, round(smoothed, 6) AS smoothed, round(nll, 6) AS nll FROM m JOIN d USING (sample_id)""")
+def _(t):
+    loss, x = evaluate.row_loss, F.col("x")
+    scaled, ones = F.transform(x, lambda v: v * 30), F.transform(x, lambda v: v * 0 + 1)
+    flags = F.transform(x, lambda v: v * 0 + F.col("target") % 2)
+    weight = [1.0 + k % 3 for k in range(64)]
+    log_probs = F.transform(x, lambda v: v - F.log(F.aggregate(x, F.lit(0.0), lambda a, y: a + F.exp(y))))
+    parts = {
+        "smooth_l1": loss("smooth_l1", beta=0.5)(scaled, ones), "huber": loss("huber_loss", delta=2.0)(scaled, ones),
+        "bce_logits": loss("binary_cross_entropy_with_logits")(x, flags),
+        "bce": loss("binary_cross_entropy")(F.transform(x, lambda v: 1 / (1 + F.exp(-v))), flags),
+        "smoothed": loss("cross_entropy", label_smoothing=0.1, weight=weight)(x, F.col("target")),
+        "nll": loss("nll", weight=weight)(log_probs, F.col("target")),
+    }
+    return predictions(t).select("sample_id", *(F.round(v, 6).alias(k) for k, v in parts.items()))
+
+
 def load_linear_model():
     """Ten fixed class weight vectors, as a user's model loader would return them."""
     import numpy as np
