@@ -129,6 +129,17 @@ def markdown_report(run: dict, metrics: dict, **sections: dict) -> str:
     return "\n".join(lines).rstrip() + "\n"
 
 
+def run_reports(runs: DataFrame) -> DataFrame:
+    """``run_id, report``: the same text per run, for any number of ``leaderboard`` input rows."""
+    metrics = F.transform(
+        F.array_sort(F.map_entries("metrics")), lambda e: F.format_string("- %s: %.4f", e["key"], e["value"])
+    )
+    facts = [F.concat(F.lit(f"- {c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("run_id", "status", "primary_metric")]
+    head = F.array(F.lit("# Benchmark Report"), F.lit(""), F.lit("## Run Manifest"), *facts, F.lit(""), F.lit("## Metrics"))
+    text = F.array_join(F.concat(head, F.coalesce(metrics, F.array().cast("array<string>"))), "\n")
+    return runs.select("run_id", F.concat(text, F.lit("\n")).alias("report"))
+
+
 def inspect(df: DataFrame, split: str = "split", label: str = "label") -> DataFrame:
     """View summary and per-split label counts in one long table."""
     from cellwave.operators.labels import label_histogram

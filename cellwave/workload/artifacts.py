@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cellwave.operators import artifacts
@@ -93,6 +95,12 @@ SELECT user_id AS run_id, CASE WHEN user_id % 3 = 0 THEN 'mae' ELSE 'accuracy' E
  CASE WHEN user_id % 5 <> 0 AND user_id % 3 <> 0 THEN round(a, 4) END AS value,
  CASE WHEN user_id % 5 = 0 THEN 'not_completed' WHEN user_id % 3 = 0 THEN 'missing_primary_metric' END AS problem FROM r""")
 def _(t):
+    board = artifacts.leaderboard(logged_runs(t))
+    return board.withColumn("value", F.round("value", 4))
+
+
+def logged_runs(t):
+    """Runs written as JSON lines in the shared folder and read back."""
     stats = t.events.groupBy(F.col("user_id").alias("run_id")).agg(F.avg("value").alias("a"))
     runs = stats.select(
         "run_id",
@@ -100,11 +108,19 @@ def _(t):
         F.when(F.col("run_id") % 3 == 0, "mae").otherwise("accuracy").alias("primary_metric"),
         F.create_map(F.lit("accuracy"), F.col("a"), F.lit("rmse"), F.col("a") * 2).alias("metrics"),
     )
-    path = f"{shared_folder(t.spark)}/runs-{t.spark.sparkContext.applicationId}"
+    path = f"{shared_folder(t.spark)}/runs-{t.spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     artifacts.write_runs(runs, path)
     schema = "run_id bigint, status string, primary_metric string, metrics map<string,double>"
-    board = artifacts.leaderboard(artifacts.read_runs(t.spark, path, schema))
-    return board.withColumn("value", F.round("value", 4))
+    return artifacts.read_runs(t.spark, path, schema)
+
+
+@query("run_reports", """WITH r AS (SELECT user_id, avg(value) AS a FROM events GROUP BY 1)
+SELECT user_id AS run_id, '# Benchmark Report' || chr(10) || chr(10) || '## Run Manifest' || chr(10) || '- run_id: ' || user_id || chr(10)
+ || '- status: ' || CASE WHEN user_id % 5 = 0 THEN 'failed' ELSE 'completed' END || chr(10)
+ || '- primary_metric: ' || CASE WHEN user_id % 3 = 0 THEN 'mae' ELSE 'accuracy' END || chr(10) || chr(10) || '## Metrics' || chr(10)
+ || printf('- accuracy: %.4f', a) || chr(10) || printf('- rmse: %.4f', a * 2) || chr(10) AS report FROM r""")
+def _(t):
+    return artifacts.run_reports(logged_runs(t))
 
 
 @query("inspect", """SELECT 'users' AS field, CAST(count(DISTINCT user_id) AS BIGINT) AS n FROM events
