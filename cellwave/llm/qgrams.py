@@ -26,6 +26,7 @@ EDITS = 0.1
 LEAST_BAND = 64
 BLOCK_BYTES = 16 << 20
 SLICE = 2 << 20
+ALIGNED = 512
 _FILTER = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN = np.full(256, 32, np.uint8)
@@ -117,35 +118,57 @@ class ItemIndex:
         item, band = item[kept], band[kept]
         return item, band * self.band[item] - int(self.size.max())
 
-    def distance(self, k: int, text: np.ndarray, start: int) -> tuple[int, int]:
-        """Edits between an item and the likest stretch of ``text`` in the band from diagonal ``start``, and its end."""
-        item, width = self.items[k], int(self.band[k] + 2 * self.edits[k] + 1)
-        start -= int(self.edits[k])
-        padded = np.zeros(width + len(item), np.uint8)  # 0 is in no plain text
-        lo, hi = max(start, 0), min(start + len(padded), len(text))
-        if hi > lo:
-            padded[lo - start : hi - start] = text[lo:hi]
-        steps = np.arange(width)
-        row = np.zeros(width, np.int64)
-        for i, c in enumerate(item):
+    def distances(self, ks: np.ndarray, texts: list[np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edits between items and the likest stretches of their texts in bands from the diagonals ``starts``, and their ends.
+
+        Bands are aligned side by side, a byte of every item at a time; longer items come first, so that the
+        others end before them.
+        """
+        sizes = self.size[ks]
+        starts = starts - self.edits[ks]
+        width = int((self.band[ks] + 2 * self.edits[ks] + 1).max())
+        padded = np.zeros((len(ks), width + int(sizes[0])), np.uint8)  # 0 is in no plain text
+        items = np.ones((len(ks), int(sizes[0])), np.uint8)
+        for c, (k, text, start) in enumerate(zip(ks, texts, starts.tolist(), strict=True)):
+            lo, hi = max(start, 0), min(start + padded.shape[1], len(text))
+            if hi > lo:
+                padded[c, lo - start : hi - start] = text[lo:hi]
+            items[c, : self.size[k]] = self.items[k]
+        steps = np.arange(width, dtype=np.int32)
+        row = np.zeros((len(ks), width), np.int32)
+        active = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left")
+        for i, c in enumerate(active.tolist()):
+            own = row[:c]
             # the same diagonal, then a byte of the item left out, then bytes of the text left out
-            now = row + (padded[i : i + width] != c)
-            now[:-1] = np.minimum(now[:-1], row[1:] + 1)
-            row = np.minimum.accumulate(now - steps) + steps
-        best = int(np.argmin(row))
-        return int(row[best]), min(start + best + len(item), len(text))
+            now = own + (padded[:c, i : i + width] != items[:c, i, None])
+            np.minimum(now[:, :-1], own[:, 1:] + 1, out=now[:, :-1])
+            now -= steps
+            row[:c] = np.minimum.accumulate(now, axis=1, out=now) + steps
+        best = row.argmin(1)
+        ends = np.minimum(starts + best + sizes, [len(t) for t in texts])
+        return row[np.arange(len(ks)), best], ends
 
     def leaks(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
         """``text, item, edits, end``: for each text and item within its budget the likest place."""
+        item, diagonal = self.regions(data)
+        first = np.maximum(np.searchsorted(at, diagonal, "right") - 1, 0)
+        high = diagonal + self.band[item] + self.edits[item] + self.size[item]
+        last = np.minimum(np.searchsorted(at, high, "left"), len(at) - 1)
+        # a band may lie over several texts
+        counts = np.maximum(last - first, 0)
+        which = np.repeat(np.arange(len(item)), counts)
+        text = np.arange(len(which)) + np.repeat(first - np.append(0, np.cumsum(counts)[:-1]), counts)
+        order = np.argsort(-self.size[item[which]], kind="stable")
+        which, text = which[order], text[order]
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        for k, diagonal in zip(*(x.tolist() for x in self.regions(data)), strict=True):
-            low, high = diagonal, diagonal + int(self.band[k] + self.edits[k] + self.size[k])
-            for text in range(max(int(np.searchsorted(at, low, "right")) - 1, 0), min(int(np.searchsorted(at, high, "left")), len(at) - 1)):
-                own = data[at[text] : at[text + 1]]
-                edits, end = self.distance(k, own, diagonal - int(at[text]))
-                if edits <= self.edits[k]:
-                    found[text, k] = min(found.get((text, k), (edits, end)), (edits, end))
-        return [(text, k, *v) for (text, k), v in sorted(found.items())]
+        for start in range(0, len(which), ALIGNED):
+            some, own = which[start : start + ALIGNED], text[start : start + ALIGNED]
+            texts = [data[at[t] : at[t + 1]] for t in own.tolist()]
+            edits, ends = self.distances(item[some], texts, diagonal[some] - at[own])
+            near = np.flatnonzero(edits <= self.edits[item[some]])
+            for t, k, e, end in zip(*(x[near].tolist() for x in (own, item[some], edits, ends)), strict=True):
+                found[t, k] = min(found.get((t, k), (e, end)), (e, end))
+        return [(t, k, *v) for (t, k), v in sorted(found.items())]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[ItemIndex]:
