@@ -234,6 +234,22 @@ def test_jaccard_components(spark, monkeypatch, size, share, route, most):
     assert len(set(tops)) < len(texts) - 15
 
 
+@pytest.mark.parametrize("most", [4 << 20, 200])
+def test_jaccard_counts_every_link(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "UNIT_SHINGLES", most)
+    texts = variants(1, prose(40, 120), 25, 8) + variants(2, prose(41, 40), 15, 3) + [prose(42, 30)] * 3 + [None, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = []
+    for text in texts:
+        w = (text or "").lower().split()
+        sets.append(frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)))
+    want = [sum(bool(a) and j != k and 10 * len(a & b) >= 9 * len(a | b) for j, b in enumerate(sets)) for k, a in enumerate(sets)]
+    got = {r.doc_id: r for r in jaccard.jaccard_classes(docs).collect()}
+    assert [got[k].n_links for k in range(len(texts))] == want
+    assert max(want) > 5 and want[-6:] == [2, 2, 2, 0, 0, 0]
+    assert len({got[k].class_id for k in range(len(texts))}) == len({*sets})
+
+
 def test_jaccard_keeps_one_of_each_group(spark, clashing, empty):
     got = jaccard.keep_first(clashing)
     assert got.columns == clashing.columns
