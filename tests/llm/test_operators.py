@@ -262,6 +262,17 @@ def test_jaccard_keeps_one_of_each_group(spark, clashing, empty):
     assert jaccard.jaccard_classes(empty).count() == 0
 
 
+def test_jaccard_keeps_different_texts_of_one_id(spark):
+    a, b, c = prose(500, 60), prose(501, 60), prose(502, 60)
+    near = a.replace(a.split()[30], "other", 1)
+    rows = [(None, a), (None, a), (None, near), (None, b), (None, b), (7, b + " x"), (7, c), (7, c), (None, ""), (None, " "), (None, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in jaccard.keep_first(docs).collect()]
+    words = [(i, t) for i, t in got if (t or "").strip()]
+    assert len(words) == 3 and {(7, b + " x"), (7, c)} < set(words) and {t for i, t in words if i is None} <= {a, near}
+    assert Counter(x for x in got if x not in words) == Counter([(None, ""), (None, " "), (None, None), (8, ""), (8, "")])
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (300, 299), (300, 299)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
