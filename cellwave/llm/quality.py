@@ -3,6 +3,8 @@
 Line frequency: normalised lines are hashed, distinct documents are counted per host (equal texts count once,
 so copies of one document do not make its lines boilerplate), lines in more than ``most_documents`` are removed
 and a document with fewer than ``least_left`` characters left is rejected.
+
+``keep_good`` gives texts without those lines.
 """
 
 from __future__ import annotations
@@ -82,11 +84,8 @@ def _text_key(text: Column) -> tuple[Column, Column]:
     )
 
 
-def line_removals(documents: DataFrame, most_documents: int) -> DataFrame:
-    """``host, text_hash, removed_chars, left_chars`` of the texts that hold a line of more than ``most_documents`` documents.
-
-    Characters are those of lines without the blanks at their ends.
-    """
+def _text_lines(documents: DataFrame) -> DataFrame:
+    """``host, text_hash, line, chars``: the distinct normalised lines of each text, and their characters in it."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(
         F.monotonically_increasing_id().alias("row"), *_text_key(text), F.explode(F.split(F.lower(text), "\n")).alias("raw")
@@ -95,7 +94,15 @@ def line_removals(documents: DataFrame, most_documents: int) -> DataFrame:
     rows = rows.select("row", "host", "text_hash", F.xxhash64("clean").alias("line"), F.length("clean").alias("chars"))
     per_row = rows.filter("chars > 0").groupBy("row", "host", "text_hash", "line").agg(F.sum("chars").alias("chars"))
     per_text = per_row.groupBy("host", "text_hash", "line").agg(F.max("chars").alias("chars"))
-    lines = written(per_text, "quality-lines")
+    return written(per_text, "quality-lines")
+
+
+def line_removals(documents: DataFrame, most_documents: int) -> DataFrame:
+    """``host, text_hash, removed_chars, left_chars`` of the texts that hold a line of more than ``most_documents`` documents.
+
+    Characters are those of lines without the blanks at their ends.
+    """
+    lines = _text_lines(documents)
     often = lines.groupBy("host", "line").count().filter(F.col("count") > most_documents)
     often = often.select("host", "line", F.lit(True).alias("often"))
     removed = F.coalesce(F.sum(F.when(F.col("often"), F.col("chars"))), F.lit(0))
@@ -107,6 +114,27 @@ def line_removals(documents: DataFrame, most_documents: int) -> DataFrame:
     )
 
 
+def common_lines(documents: DataFrame, most_documents: int) -> DataFrame:
+    """``host, text_hash, gone, left_chars``: the hashes of lines over the limit in each text that holds any."""
+    lines = _text_lines(documents)
+    able = lines.groupBy("host", "line").count().filter(F.col("count") > most_documents)
+    able = written(able.select("host", "line", F.lit(True).alias("able")), "quality-able")
+    texts = lines.groupBy("host", "text_hash").agg(F.sum("chars").alias("total"), F.first("text_hash").alias("copy"))
+    held = written(lines.join(able.drop("able"), ["host", "line"]).join(texts, ["host", "text_hash"]), "quality-held")
+    often = held.groupBy("host", "line", "copy").agg(F.count("*").alias("n")).groupBy("host", "line").count()
+    often = often.filter(F.col("count") > most_documents).select("host", "line")
+    gone = held.join(often, ["host", "line"]).groupBy("host", "text_hash").agg(
+        F.collect_set("line").alias("gone"), (F.first("total") - F.sum("chars")).alias("left_chars")
+    )
+    return gone
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """The text without its lines of those hashes, compared as ``_text_lines`` has them."""
+    line = lambda x: F.xxhash64(F.btrim(F.lower(x), F.lit(BLANKS)))
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(gone, line(x))), "\n")
+
+
 def _base_failed(least_words: int, most_repeated: int) -> Column:
     return (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated)
 
@@ -142,16 +170,30 @@ def keep_good(
     least_words: int = LEAST_WORDS,
     most_repeated: int = MOST_REPEATED,
 ) -> DataFrame:
-    """The rows that ``judge_quality`` keeps, with all their columns; keys of depleted texts are joined to few."""
-    depleted = line_removals(documents, most_documents).filter(F.col("left_chars") < least_left)
-    depleted = written(depleted.select("host", "text_hash", F.concat_ws("/", "host", "text_hash").alias("key")), "quality-depleted")
+    """The rows that pass the base rules and keep ``least_left`` characters, without the lines over the limit.
+
+    All columns stay; ``text`` is the rest of the text, and ``n_chars``, where there is one, its length. The base rules
+    look at the whole text, as in ``judge_quality``.
+    """
+    gone = common_lines(documents, most_documents)
+    gone = gone.select(F.concat_ws("/", "host", "text_hash").alias("key"), "gone", "left_chars")
+    gone = written(gone, "quality-gone")
     # only texts that may be among them move
-    host, key = _text_key(F.coalesce(F.col("text"), F.lit("")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    host, key = _text_key(text)
     rows = documents.select(F.struct("*").alias("document"), F.concat_ws("/", host, key).alias("key"))
-    places = marks(depleted, "key")
-    far = rows.join(places, mark("key") == F.col("mark"), "left_anti")
-    near = rows.join(places, mark("key") == F.col("mark"), "left_semi").join(depleted, "key", "left_anti")
-    rows = far.unionByName(near).select("document.*")
+    places = marks(gone, "key")
+    far = rows.join(places, mark("key") == F.col("mark"), "left_anti").select("document.*", F.lit(None).cast("string").alias("quality_text"))
+    near = rows.join(places, mark("key") == F.col("mark"), "left_semi").join(gone, "key", "left")
+    near = near.filter(F.coalesce(F.col("left_chars") >= least_left, F.lit(True)))
+    rest = F.when(F.col("gone").isNotNull(), _without(F.col("document.text"), F.col("gone")))
+    rows = far.unionByName(near.select("document.*", rest.alias("quality_text")))
     # the row number keeps the filter above the measures, which it would else be written into
-    rows = text_measures(rows, tuple(documents.columns)).withColumn("row", F.monotonically_increasing_id())
-    return rows.filter((F.col("row") >= 0) & ~_base_failed(least_words, most_repeated)).select("document.*")
+    rows = text_measures(rows, (*documents.columns, "quality_text")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.filter((F.col("row") >= 0) & ~_base_failed(least_words, most_repeated)).select("document.*")
+    rest = F.col("quality_text")
+    new = {"text": F.coalesce(rest, F.col("text"))}
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        new = {"n_chars": F.when(rest.isNotNull(), F.length(rest).cast(kind)).otherwise(F.col("n_chars"))} | new
+    return rows.withColumns(new).select(documents.columns)

@@ -90,6 +90,17 @@ def test_lines_of_many_documents(spark):
     assert {r.doc_id for r in quality.keep_good(docs, most_documents=5).collect()} == set(got) - {6}
 
 
+def test_common_lines_leave_the_texts(spark):
+    menu = "Home news contact about us and more"
+    texts = {k: prose(800 + k, 30) + "\n  " + menu.upper() + "\n\nend of document " + str(k) for k in range(8)}
+    hosts = {k: "a" if k < 20 else "b" if k < 40 else "c" for k in texts}
+    docs = spark.createDataFrame([(k, t, hosts[k], len(t)) for k, t in texts.items()], "doc_id long, text string, source string, n_chars int")
+    got = {r.doc_id: r for r in quality.keep_good(docs, most_documents=5).collect()}
+    want = {k: t.replace("\n  " + menu.upper(), "") if k < 20 else t for k, t in texts.items()}
+    assert {k: r.text for k, r in got.items()} == want
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 # ---- suffix array
 
 
