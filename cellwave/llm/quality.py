@@ -4,7 +4,9 @@ Line frequency: normalised lines are hashed, distinct documents are counted per
 so copies of one document do not make its lines boilerplate), lines in more than ``most_documents`` are removed
 and a document with fewer than ``least_left`` characters left is rejected.
 
-``keep_good`` gives texts without those lines.
+``keep_good`` gives texts without those lines and counts more strictly: documents with the same normalised lines count
+once, and so do near copies, whose lines but a fifth or ``least_left`` characters are all over the limit, by the
+longest of these, so that a group of copies alone doesn't make its own lines boilerplate.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ BLANKS = "\x20\x09\x0B\x0C\x0D"
 SYMBOLS = r"[^#*$%&|<>]+"
 RUN = 5
 MOST_DOCUMENTS, LEAST_LEFT, LEAST_WORDS, MOST_REPEATED = 100, 50, 10, 20
+NEAR = 5
 
 
 def _run_hashes(hashes: Column) -> Column:
@@ -114,12 +117,23 @@ def line_removals(documents: DataFrame, most_documents: int) -> DataFrame:
     )
 
 
-def common_lines(documents: DataFrame, most_documents: int) -> DataFrame:
-    """``host, text_hash, gone, left_chars``: the hashes of lines over the limit in each text that holds any."""
+def common_lines(documents: DataFrame, most_documents: int, least_left: int) -> DataFrame:
+    """``host, text_hash, gone, left_chars``: the hashes of lines over the limit in each text that holds any.
+
+    A document that lines of more than ``most_documents`` texts leave ``least_left`` characters or more, and a fifth
+    of its own, counts by all its lines; another one by the longest of those lines.
+    """
     lines = _text_lines(documents)
     able = lines.groupBy("host", "line").count().filter(F.col("count") > most_documents)
     able = written(able.select("host", "line", F.lit(True).alias("able")), "quality-able")
-    texts = lines.groupBy("host", "text_hash").agg(F.sum("chars").alias("total"), F.first("text_hash").alias("copy"))
+    total, left = F.sum("chars"), F.coalesce(F.sum(F.when(F.col("able").isNull(), F.col("chars"))), F.lit(0))
+    texts = lines.join(able, ["host", "line"], "left").groupBy("host", "text_hash").agg(
+        total.alias("total"), left.alias("left"), F.max(F.when(F.col("able"), F.struct("chars", "line"))).alias("longest"),
+        F.xxhash64(F.bit_xor(F.xxhash64("line", "chars")), F.count("*"), total).alias("whole"),
+    )
+    near = (F.col("left") < least_left) | (F.col("left") * NEAR < F.col("total"))
+    copy = F.when(near, F.xxhash64(F.lit("near"), "longest.line")).otherwise(F.col("whole"))
+    texts = texts.filter("longest is not null").select("host", "text_hash", "total", copy.alias("copy"))
     held = written(lines.join(able.drop("able"), ["host", "line"]).join(texts, ["host", "text_hash"]), "quality-held")
     often = held.groupBy("host", "line", "copy").agg(F.count("*").alias("n")).groupBy("host", "line").count()
     often = often.filter(F.col("count") > most_documents).select("host", "line")
@@ -175,7 +189,7 @@ def keep_good(
     All columns stay; ``text`` is the rest of the text, and ``n_chars``, where there is one, its length. The base rules
     look at the whole text, as in ``judge_quality``.
     """
-    gone = common_lines(documents, most_documents)
+    gone = common_lines(documents, most_documents, least_left)
     gone = gone.select(F.concat_ws("/", "host", "text_hash").alias("key"), "gone", "left_chars")
     gone = written(gone, "quality-gone")
     # only texts that may be among them move

@@ -90,9 +90,11 @@ def test_lines_of_many_documents(spark):
     assert {r.doc_id for r in quality.keep_good(docs, most_documents=5).collect()} == set(got) - {6}
 
 
-def test_common_lines_leave_the_texts(spark):
-    menu = "Home news contact about us and more"
+def test_common_lines_leave_the_texts_but_not_groups_of_copies(spark):
+    menu, article = "Home news contact about us and more", "\n".join(prose(700 + k, 12).replace("\n", " ") for k in range(8))
     texts = {k: prose(800 + k, 30) + "\n  " + menu.upper() + "\n\nend of document " + str(k) for k in range(8)}
+    texts |= {20 + k: article.replace("\n", "\n" * (k % 3 + 1)) + f" \nown {k}" for k in range(12)}  # each with a short own line
+    texts |= {40 + k: (article.upper() if k % 2 else article).replace("\n", " " * k + "\n") for k in range(12)}
     hosts = {k: "a" if k < 20 else "b" if k < 40 else "c" for k in texts}
     docs = spark.createDataFrame([(k, t, hosts[k], len(t)) for k, t in texts.items()], "doc_id long, text string, source string, n_chars int")
     got = {r.doc_id: r for r in quality.keep_good(docs, most_documents=5).collect()}
