@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwave.llm import chat_trees, jaccard, packing, qgrams, quality, suffix, suffix_tree_lm, token_files, url_trie, warc
+from cellwave.llm import (
+    chat_trees,
+    jaccard,
+    packing,
+    periodic_runs,
+    qgrams,
+    quality,
+    simhash_links,
+    spelling,
+    suffix,
+    suffix_tree_lm,
+    token_files,
+    url_trie,
+    warc,
+)
 from cellwave.llm.common import new_place, shipped
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +202,60 @@ def op2_qgram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_suffix_tree_lm")
 def op8_suffix_tree_lm(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree_lm.score_documents(table(spark, folder, "documents"))
+
+
+def planted_runs(documents: DataFrame) -> DataFrame:
+    """``doc_id, text``: a tenth of the ids, by their crc, repeat words from one place of their text on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = documents.select(
+        "doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"),
+        F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).alias("words"),
+    )
+    n = F.size("words").cast("long")
+    words = words.withColumn("a", F.when(n > 0, F.pmod(F.col("g"), n)))
+    words = words.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform(
+        "words",
+        lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + F.pmod(i - F.col("a"), F.col("p"))).cast("int"))),
+    )
+    return words.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = periodic_runs.collapse_runs(planted_runs(table(spark, folder, "documents")))
+    later = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), later)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    rows = rows.withColumn("best", best)
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "utf-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+def altered_words(documents: DataFrame) -> DataFrame:
+    """``word, n``: letter runs of all texts, one code point of every 31st left out by its crc; 7 long and seen twice at least."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    # no shorter run gives a word of 7
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z\u00C0-\u00FF]{7,}"), F.lit(0))
+    runs = documents.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(found).alias("run"))
+    runs = runs.select("id", F.translate("run", upper, lower).alias("run"))
+    runs = runs.select("run", F.crc32(F.concat("id", F.lit(":"), "run")).alias("h"), F.char_length("run").alias("size"))
+    cut = (F.col("h") % F.col("size")).cast("int")
+    word = F.when(F.col("h") % 31 == 0, F.concat(F.substring("run", F.lit(1), cut), F.substring("run", cut + 2, F.col("size")))).otherwise(F.col("run"))
+    words = runs.select(word.alias("word")).filter(F.char_length("word") >= 7)
+    return words.groupBy("word").agg(F.count("*").alias("n")).filter("n >= 2")
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_spellings(altered_words(table(spark, folder, "documents")))
+
+
+@query("op13_simhash_links")
+def op13_simhash_links(spark: SparkSession, folder: str) -> DataFrame:
+    rows = simhash_links.link_documents(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
