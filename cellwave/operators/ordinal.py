@@ -8,6 +8,7 @@ state between buckets through a small table of per-bucket totals.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,6 +41,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, and safe when executors are lost."""
+    place = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def global_ordinal(
     df: DataFrame, order: list, name: str = "pos", partitions: int | None = None
 ) -> tuple[DataFrame, int]:

@@ -1,13 +1,11 @@
 """Binary capture sources: framed packets, radar records, point clouds.
 
-Framed files are not splittable at a guess, so a header-only scan first cuts a
-file into ranges of whole packets (it seeks over the payloads); the ranges are
-then decoded in parallel. Small files can come as a binaryFile table instead.
+Captures come as records that ``framing`` finds in parallel, in any store that
+Spark reads. Small files can come as a binaryFile table instead.
 """
 
 import struct
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from cellwave.sources.framing import BLOCK_BYTES, Framing, fixed_records, framed_records, integers
+
 # Packet layouts.
 PACKET_LENGTHS = struct.Struct(">19sIII")
 PACKET_HEADER = struct.Struct("<I4xI34xBBxB2xI4xII6s2xB11xII")
@@ -28,16 +28,6 @@ PACKET_SCHEMA = (
 PCAP_SCHEMA = "path string, frame_idx bigint, ts double, incl_len bigint, payload binary"
 
 
-@dataclass(frozen=True)
-class Framing:
-    """How to step over one record: file header size, prefix size, body size."""
-
-    skip: int
-    prefix: int
-    body: Callable[[bytes], int]
-    pad_short: bool = False
-
-
 def _packet_body(prefix: bytes) -> int:
     _, header, _, data = PACKET_LENGTHS.unpack(prefix)
     return header + data
@@ -47,8 +37,29 @@ def _pcap_body(prefix: bytes) -> int:
     return PCAP_HEADER.unpack(prefix)[2]
 
 
-PACKETS = Framing(0, PACKET_LENGTHS.size, _packet_body)
-PCAP = Framing(PCAP_FILE_HEADER_BYTES, PCAP_HEADER.size, _pcap_body, True)
+def _packet_bodies(data: np.ndarray) -> np.ndarray:
+    count = len(data) - PACKET_LENGTHS.size + 1
+    return integers(data, 19, count, True) + integers(data, 27, count, True)
+
+
+def _pcap_bodies(data: np.ndarray) -> np.ndarray:
+    return integers(data, 8, len(data) - PCAP_HEADER.size + 1)
+
+
+PACKETS = Framing(0, PACKET_LENGTHS.size, _packet_body, _packet_bodies)
+PCAP = Framing(PCAP_FILE_HEADER_BYTES, PCAP_HEADER.size, _pcap_body, _pcap_bodies, True)
+
+
+def _whole(framing: Framing, at: int, prefix: bytes, body: bytes) -> bytes | None:
+    """The body of a record that the file's end may cut short; None where that leaves no record."""
+    size = framing.body(prefix)
+    if len(body) >= size:
+        return body
+    if framing.pad_short:
+        return body + b"\x00" * (size - len(body)) if body else None
+    if len(body) < PACKET_LENGTHS.unpack(prefix)[1]:
+        return None
+    raise ValueError(f"truncated packet payload at byte {at}: expected {size}, got {len(body)}")
 
 
 def _records(framing: Framing, read: Callable[[int, int], bytes], start: int, end: int) -> Iterator[tuple[bytes, bytes]]:
@@ -59,55 +70,13 @@ def _records(framing: Framing, read: Callable[[int, int], bytes], start: int, en
         if len(prefix) < framing.prefix:
             return
         size = framing.body(prefix)
-        body = read(at + framing.prefix, size)
-        if len(body) < size:
-            if framing.pad_short:
-                if not body:
-                    return
-                body = body + b"\x00" * (size - len(body))
-            else:
-                header = PACKET_LENGTHS.unpack(prefix)[1]
-                if len(body) < header:
-                    return
-                raise ValueError(f"truncated packet payload at byte {at}: expected {size}, got {len(body)}")
+        body = _whole(framing, at, prefix, read(at + framing.prefix, size))
+        if body is None:
+            return
         yield prefix, body
         at += framing.prefix + size
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file:") if path.startswith("file:") else path
-
-
-def scan_ranges(listing: DataFrame, framing: Framing, target_bytes: int = 64 << 20) -> DataFrame:
-    """``(path, start, end, first_idx)`` ranges of whole records, by headers only.
-
-    Needs a file system the workers can open (a shared mount).
-    """
-
-    def scan(batches):
-        for batch in batches:
-            out = []
-            for path, length in zip(batch["path"], batch["length"]):
-                with open(_local(path), "rb") as f:
-                    at = start = framing.skip
-                    index = first = 0
-                    while at < length:
-                        f.seek(at)
-                        prefix = f.read(framing.prefix)
-                        if len(prefix) < framing.prefix:
-                            break
-                        if at - start >= target_bytes:
-                            out.append((path, start, at, first))
-                            start, first = at, index
-                        at += framing.prefix + framing.body(prefix)
-                        index += 1
-                    out.append((path, start, min(at, length), first))
-            yield pd.DataFrame(out, columns=["path", "start", "end", "first_idx"])
-
-    files = listing.select("path", "length")
-    return files.repartition(F.col("path")).mapInPandas(scan, "path string, start bigint, end bigint, first_idx bigint")
-
-
 def _decode(framing: Framing, parse: Callable, read, path, start, end, first) -> Iterator[tuple]:
     for i, (prefix, body) in enumerate(_records(framing, read, start, end)):
         row = parse(prefix, body)
@@ -130,24 +99,22 @@ def _in_batches(rows: Iterator[tuple], schema: str, size: int = 512) -> Iterator
         yield pd.DataFrame(held, columns=_columns(schema))
 
 
-def decode_ranges(ranges: DataFrame, framing: Framing, parse: Callable, schema: str) -> DataFrame:
-    """Decode scanned ranges; every range is its own unit of work."""
+def decode_records(records: DataFrame, framing: Framing, parse: Callable, schema: str) -> DataFrame:
+    """Decode records ``(path, record, at, data)``, header and body in one."""
 
     def run(batches):
         for batch in batches:
             yield from _in_batches(rows(batch), schema)
 
     def rows(batch):
-        for r in batch.itertuples():
-            with open(_local(r.path), "rb") as f:
-
-                def read(at, n, f=f):
-                    f.seek(at)
-                    return f.read(n)
+        for path, record, at, data in zip(batch["path"], batch["record"], batch["at"], batch["data"]):
+            prefix = data[: framing.prefix]
+            body = _whole(framing, at, prefix, data[framing.prefix :])
+            row = None if body is None else parse(prefix, body)
+            if row is not None:
+                yield (path, record, *row)
 
-                yield from _decode(framing, parse, read, r.path, r.start, r.end, r.first_idx)
-
-    return ranges.repartition(F.col("path"), F.col("start")).mapInPandas(run, schema)
+    return records.select("path", "record", "at", "data").mapInPandas(run, schema)
 
 
 def decode_files(files: DataFrame, framing: Framing, parse: Callable, schema: str) -> DataFrame:
@@ -195,17 +162,13 @@ def parse_pcap_frame(prefix: bytes, body: bytes):
     return seconds + micros / 1e6, size, body
 
 
-def read_packets(spark: SparkSession, path: str, target_bytes: int = 64 << 20) -> DataFrame:
+def read_packets(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Length-prefixed CSI packets of all files under a path."""
-    from cellwave.sources.tabular import list_captures
-
-    return decode_ranges(scan_ranges(list_captures(spark, path), PACKETS, target_bytes), PACKETS, parse_packet, PACKET_SCHEMA)
+    return decode_records(framed_records(spark, path, PACKETS, block_bytes), PACKETS, parse_packet, PACKET_SCHEMA)
 
 
-def read_pcap(spark: SparkSession, path: str, target_bytes: int = 64 << 20) -> DataFrame:
-    from cellwave.sources.tabular import list_captures
-
-    return decode_ranges(scan_ranges(list_captures(spark, path), PCAP, target_bytes), PCAP, parse_pcap_frame, PCAP_SCHEMA)
+def read_pcap(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    return decode_records(framed_records(spark, path, PCAP, block_bytes), PCAP, parse_pcap_frame, PCAP_SCHEMA)
 
 
 def packet_cells(packets: DataFrame, keys: list[str]) -> DataFrame:
@@ -219,18 +182,12 @@ def packet_cells(packets: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def read_fixed_records(spark: SparkSession, path: str, record_bytes: int) -> DataFrame:
-    """``(record, content)`` of one capture of equal-size records, split by blocks."""
+def read_fixed_records(spark: SparkSession, path: str, record_bytes: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(path, record, content)`` of captures of equal-size records, many to a block."""
     if record_bytes <= 0:
         raise ValueError("record size must be positive")
-    rows = spark.sparkContext.newAPIHadoopFile(
-        path,
-        "org.apache.spark.input.FixedLengthBinaryInputFormat",
-        "org.apache.hadoop.io.LongWritable",
-        "org.apache.hadoop.io.BytesWritable",
-        conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(record_bytes)},
-    )
-    return rows.map(lambda kv: (kv[0], bytearray(kv[1]))).toDF("record bigint, content binary")
+    rows = fixed_records(spark, path, record_bytes, block_bytes)
+    return rows.select("path", "record", F.col("data").alias("content"))
 
 
 def record_size_problems(listing: DataFrame, record_bytes: int) -> DataFrame:
@@ -325,18 +282,3 @@ def point_counts(files: DataFrame, keys: list[str], max_points: int | None = Non
     if max_points is not None:
         count = F.least(count, F.lit(max_points).cast("bigint"))
     return files.select(*keys, count.alias("points"))
-
-
-def with_heads(listing: DataFrame, size: int = 3) -> DataFrame:
-    """Add the first bytes of every file without reading the rest."""
-    schema = "path string, length bigint, head binary"
-
-    def peek(batches):
-        for batch in batches:
-            heads = []
-            for path in batch["path"]:
-                with open(_local(path), "rb") as f:
-                    heads.append(f.read(size))
-            yield batch.assign(head=heads)
-
-    return listing.select("path", "length").mapInPandas(peek, schema)

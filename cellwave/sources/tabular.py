@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellwave.sources.framing import heads_of
+
 # Integers per CSV packet and the subcarriers they carry.
 SUBCARRIERS_BY_LENGTH = {106: 56, 114: 57, 128: 64, 234: 117, 256: 128, 384: 192}
 # Bandwidth in Hz by the largest subcarrier count it covers.
@@ -86,26 +88,24 @@ def list_captures(spark: SparkSession, path: str, glob: str = "*", recursive: bo
 
 
 def walk_captures(spark: SparkSession, path: str) -> DataFrame:
-    """File listing ``(path, name, length)`` that keeps empty files.
+    """File listing ``(path, name, length)`` that keeps empty files, from any store that Spark lists.
 
-    Spark's file sources skip files of length zero, which audits must see. The
-    first directory level is listed here, tasks walk the rest; needs a file
-    system the workers can open.
+    Spark's file sources skip files of length zero, which audits must see; its file index on the driver names them.
     """
-    root = path.removeprefix("file:")
-    tops = sorted(e.path for e in os.scandir(root))
-    seeds = spark.createDataFrame([(t,) for t in tops], "top string")
-
-    def walk(batches):
-        for batch in batches:
-            found = []
-            for top in batch["top"]:
-                inner = ((d, n) for d, _, names in os.walk(top) for n in names)
-                files = [os.path.join(d, n) for d, n in inner] if os.path.isdir(top) else [top]
-                found += [(f, os.path.basename(f), os.path.getsize(f)) for f in files]
-            yield pd.DataFrame(found, columns=["path", "name", "length"])
-
-    return seeds.repartition("top").mapInPandas(walk, "path string, name string, length bigint")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    # the index names local files with three slashes, the metadata column with one
+    urls = [url.replace("file:///", "file:/", 1) if url.startswith("file:///") else url for url in rows.inputFiles()]
+    index = spark.createDataFrame([(url, unquote(url)) for url in urls], "url string, plain string")
+    known = rows.select(F.col("_metadata.file_path").alias("url"), F.col("path").alias("own"), "length")
+    out = index.join(known, "url", "left").select(
+        F.coalesce("own", "plain").alias("path"), F.coalesce("length", F.lit(0)).cast("bigint").alias("length"), "url"
+    )
+    return out.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "url")
+
+
+def read_heads(spark: SparkSession, path: str, size: int = 3) -> DataFrame:
+    """The same listing with ``head``, the first bytes of each file, null for an empty one."""
+    return walk_captures(spark, path).join(heads_of(spark, path, size), "url", "left")
 
 
 def parse_capture_names(listing: DataFrame, name: str = "name") -> DataFrame:

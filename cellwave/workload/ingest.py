@@ -79,8 +79,8 @@ def _(t):
     return tabular.csv_csi_problems(raw).select("id", "reason")
 
 
-def packet_files(t):
-    """One file per embedding: two packets of 16 complex values, shapes by id.
+def packet_hex():
+    """Two packets of 16 complex values for each embedding, shapes by id; one spare byte 10 ends a packet's data.
 
     The second packet of every fourth file is (tx 1, rx 2, subc 8), the other
     packets are (tx 2, rx 2, subc 4).
@@ -99,12 +99,16 @@ def packet_files(t):
             F.repeat(F.lit("00"), F.lit(11)), int32(F.col("vec_id")), int32(F.lit(9)),
         )
         size = binary.PACKET_HEADER.size
-        lengths = F.concat(int32(F.lit(size), True), int32(F.lit(0), True), int32(F.lit(64), True))
-        data = joined_hex(F.slice(scaled_ints(), 32 * index + 1, 32))
+        lengths = F.concat(int32(F.lit(size), True), int32(F.lit(0), True), int32(F.lit(65), True))
+        data = F.concat(joined_hex(F.slice(scaled_ints(), 32 * index + 1, 32)), F.lit("0A"))
         return F.concat(F.substring(stamp, 1, 38), lengths, header, data)
 
-    first = packet(0, F.lit(2), F.lit(4))
-    second = packet(1, F.when(odd, 1).otherwise(2), F.when(odd, 8).otherwise(4))
+    return packet(0, F.lit(2), F.lit(4)), packet(1, F.when(odd, 1).otherwise(2), F.when(odd, 8).otherwise(4))
+
+
+def packet_files(t):
+    """One file per embedding, two packets in each."""
+    first, second = packet_hex()
     return t.embeddings.select(
         F.col("vec_id").cast("string").alias("path"), F.unhex(F.concat(first, second)).alias("content")
     )
@@ -133,6 +137,63 @@ def _(t):
     return binary.packet_cells(packets, ["path", "packet_idx"])
 
 
+def written_captures(t, name: str, records) -> str:
+    """Files of 64 embeddings each, of the given hex records one after another; each record ends in a byte 10.
+
+    Spark's text writer puts that byte after a line, so lines without it make the very bytes.
+    """
+    rows = t.embeddings.select(F.floor(F.col("vec_id") / 64).alias("capture"), "vec_id", F.posexplode(F.array(*records)).alias("k", "hex"))
+    line = F.unhex(F.substring("hex", F.lit(1), F.length("hex") - 2)).cast("string")
+    rows = rows.repartition("capture").sortWithinPartitions("capture", "vec_id", "k").select(line.alias("value"), "capture")
+    path = folder(t, name)
+    rows.write.mode("overwrite").partitionBy("capture").text(path)
+    return path
+
+
+def capture_of(column: str = "path"):
+    return F.regexp_extract(column, "capture=([0-9]+)", 1).cast("bigint").alias("capture")
+
+
+@query("packet_captures", f"""WITH {PACKETS_SQL}
+SELECT vec_id // 64 AS capture, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id, packet_idx) - 1 AS packet_idx,
+ vec_id * 10 + packet_idx AS ts_ns, n_tx, n_rx, n_subc, packet_idx AS seq,
+ CAST(list_sum(list_transform(range(16), lambda j: v[32 * packet_idx + 2 * j + 1] * CASE WHEN n_tx = 2 THEN 1 ELSE 2 END)) AS DOUBLE) AS re_sum FROM p""")
+def _(t):
+    path = written_captures(t, "packet-captures", packet_hex())
+    packets = binary.read_packets(t.spark, path, block_bytes=4096)
+    total = F.aggregate("re", F.lit(0.0), lambda a, x: a + x) * F.when(F.col("n_tx") == 2, 1).otherwise(2)
+    return packets.select(capture_of(), "packet_idx", "ts_ns", "n_tx", "n_rx", "n_subc", "seq", total.alias("re_sum"))
+
+
+@query("pcap_captures", f"""WITH {INTS_SQL}
+SELECT vec_id // 64 AS capture, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id, k) - 1 AS frame_idx, vec_id + 0.25 AS ts,
+ CAST(33 AS BIGINT) AS incl_len, v[16 * k + 1] & 255 AS first_byte, 10 AS last_byte FROM i, range(4) q(k)""")
+def _(t):
+    # the first frame of a capture follows the file header
+    ints, begins = scaled_ints(), F.when(F.col("vec_id") % 64 == 0, F.repeat(F.lit("00"), F.lit(24))).otherwise(F.lit(""))
+    head = F.concat(int32(F.col("vec_id")), int32(F.lit(250000)), int32(F.lit(33)), int32(F.lit(33)))
+    frames = [F.concat(head, joined_hex(F.slice(ints, 16 * k + 1, 16)), F.lit("0A")) for k in range(4)]
+    path = written_captures(t, "pcap-captures", [F.concat(begins, frames[0]), *frames[1:]])
+    frames = binary.read_pcap(t.spark, path, block_bytes=4096)
+
+    def byte(at: int):
+        return F.conv(F.hex(F.substring("payload", at, 1)), 16, 10).cast("bigint")
+
+    return frames.select(capture_of(), "frame_idx", "ts", "incl_len", byte(1).alias("first_byte"), byte(33).alias("last_byte"))
+
+
+@query("radar_captures", f"""WITH {INTS_SQL}, w AS (SELECT vec_id, list_concat(v[1:63], [2560 + (v[64] & 255)]) AS v FROM i),
+ x AS (SELECT vec_id, chirp, adc, tx * 2 + rx AS ant, ((chirp * 2 + tx) * 4 + adc) * 4 + rx AS j, v FROM w, range(2) c(chirp), range(2) t(tx), range(4) a(adc), range(2) r(rx))
+SELECT vec_id // 64 AS capture, vec_id % 64 AS record, chirp, adc, ant, CAST(v[j + 1] AS DOUBLE) AS re, CAST(v[j + 3] AS DOUBLE) AS im FROM x""")
+def _(t):
+    ints = scaled_ints()
+    last = (F.get(ints, F.lit(63)).bitwiseAND(255) + 2560).cast("int")
+    path = written_captures(t, "radar-captures", [joined_hex(F.concat(F.slice(ints, 1, 63), F.array(last)))])
+    records = binary.read_fixed_records(t.spark, path, binary.radar_frame_bytes(2, 2, 2, 4), block_bytes=1000)
+    records = records.select(capture_of(), "record", "content")
+    return binary.decode_radar_frames(records, ["capture", "record"], num_chirps=2, num_tx=2, num_rx=2, num_adc=4)
+
+
 def radar_records(t):
     return t.embeddings.select(F.col("vec_id").alias("record"), F.unhex(joined_hex(scaled_ints())).alias("content"))
 

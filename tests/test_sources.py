@@ -24,10 +24,7 @@ def test_packet_files_by_ranges(spark, tmp_path):
         # the last packet is too short for its shape and is left out
         body = b"".join(packet(100 + i, 2, 2, 4, i % 256, v.ravel()) for i, v in enumerate(values[name]))
         (tmp_path / f"{name}.dat").write_bytes(body + packet(999, 3, 3, 9, 0, [1, 2]))
-    listing = tabular.list_captures(spark, str(tmp_path), "*.dat")
-    ranges = binary.scan_ranges(listing, binary.PACKETS, 1000)
-    assert ranges.count() > 4
-    rows = binary.read_packets(spark, str(tmp_path), target_bytes=1000).collect()
+    rows = binary.read_packets(spark, str(tmp_path), block_bytes=1000).collect()
     assert len(rows) == 43
     for r in rows:
         name = r.path.split("/")[-1][0]
@@ -130,7 +127,7 @@ def test_capture_problems_from_heads(spark, tmp_path):
     (tmp_path / "cut").write_bytes(struct.pack(">HB", 9, 0xBB) + b"abc")
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep" / "empty").write_bytes(b"")
-    listing = binary.with_heads(tabular.walk_captures(spark, str(tmp_path))).withColumn(
+    listing = tabular.read_heads(spark, str(tmp_path)).withColumn(
         "path", F.element_at(F.split("path", "/"), -1)
     )
     names = ["ok", "short", "code", "cut", "empty", "absent"]
