@@ -64,20 +64,23 @@ def integers(data: np.ndarray, at: int, count: int, big: bool = False) -> np.nda
 
 
 def likely_exits(framing: Framing, content: bytes) -> list[int]:
-    """Ways out of a block, counted from its end, that most offsets in its last ``LOOK_BYTES`` lead to."""
+    """Ways out of a block, counted from its end: those that most offsets in its last ``LOOK_BYTES`` lead to, and by most steps."""
     data = np.frombuffer(content, np.uint8)[-LOOK_BYTES:]
     count = len(data) - framing.prefix + 1
     if count <= 0 or not framing.prefix:
         return []
     after = np.arange(count) + framing.prefix + framing.bodies(data)
     jump = np.where(after < count, after, np.arange(count))
+    steps = (after < count).astype(np.int64)
     while True:
         further = jump[jump]
         if (further == jump).all():
             break
-        jump = further
-    ways, votes = np.unique(after[jump], return_counts=True)
-    best = np.lexsort((ways, -votes))[:GUESSES]
+        jump, steps = further, steps + steps[jump]
+    ways, number, votes = np.unique(after[jump], return_inverse=True, return_counts=True)
+    most = np.zeros(len(ways), np.int64)
+    np.maximum.at(most, number, steps)
+    best = np.union1d(np.lexsort((ways, -votes))[:GUESSES], np.lexsort((ways, -votes, -most))[:GUESSES])
     return (ways[best] - len(data)).tolist()
 
 
