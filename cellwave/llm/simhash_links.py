@@ -4,10 +4,11 @@
 2. With at most ``DISTANCE`` differing bits, one of ``SEGMENTS`` segments differs in one bit at most. So fingerprints that
    link share a signature: a segment of which one bit is left out, with the place of that bit. Each is indexed by all
    its 64 signatures, and those that meet on one are verified by their bits.
-3. A group of one signature with at most ``GROUP`` fingerprints is verified in a task, which keeps the links that join
-   something. Of a larger group every member close to the smallest one is linked with that; if the group is joined as a
-   whole by then, its other links change nothing and it is done. Otherwise its members meet by further bits: those
-   not yet used are cut into parts of which one must be equal. Each round fixes bits, so groups end.
+3. Sorted by signature, groups pass through a task one by one. Of one with at most ``GROUP`` fingerprints those links
+   are kept that join something. A larger one is handed on as it comes, and never held: every member close to the
+   smallest one is linked with that; if the group is joined as a whole by then, its other links change nothing and it
+   is done. Otherwise its members meet by further bits: those not yet used are cut into parts of which one must be
+   equal. Each round fixes bits, so groups end.
 4. Components of the links get their smallest document.
 """
 
@@ -148,23 +149,52 @@ def joining_links(own: np.ndarray, distance: int = DISTANCE) -> list[tuple[int,
     return links
 
 
-def _links(groups: DataFrame) -> DataFrame:
-    """``a, b`` of the links that join the members of each row's ``members``."""
+def group_links(fp: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Pairs that join the members of each group as its links do; group ``k`` is ``fp[at[k] : at[k + 1]]``."""
+    twos = fp[at[:-1][np.diff(at) == 2, None] + [0, 1]]
+    pairs = [twos[np.bitwise_count(twos[:, 0] ^ twos[:, 1]) <= DISTANCE]]
+    for k in np.flatnonzero(np.diff(at) > 2).tolist():
+        own = fp[at[k] : at[k + 1]]
+        if links := joining_links(own):
+            pairs.append(own[np.array(links)])
+    return np.unique(np.sort(np.concatenate(pairs).view(np.int64), 1), axis=0)
+
+
+def _met(rows: DataFrame, group: int) -> DataFrame:
+    """Of ``fp, key, used`` rows: links (``a, b``, no key), and the members ``a`` of groups above ``group`` with key and used."""
+
+    def out(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None, used: np.ndarray | None) -> pa.RecordBatch:
+        columns = [pa.nulls(len(a), pa.int64()) if c is None else pa.array(c) for c in (a, b, key, used)]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "used"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3  # the last group, which may go on
+        passing = None  # the key of a group that is too large to hold
         for batch in batches:
-            column = batch.column(0)
-            values, at = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy() - column.offsets[0].as_py()
-            twos = values[at[:-1][np.diff(at) == 2, None] + [0, 1]]
-            pairs = [twos[np.bitwise_count(twos[:, 0] ^ twos[:, 1]) <= DISTANCE]]
-            for k in np.flatnonzero(np.diff(at) > 2).tolist():
-                own = values[at[k] : at[k + 1]]
-                if links := joining_links(own):
-                    pairs.append(own[np.array(links)])
-            both = np.unique(np.sort(np.concatenate(pairs).view(np.int64), 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    return groups.select("members").mapInArrow(found, "a long, b long").distinct()
+            fp, key, used = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
+            if passing is not None:
+                more = int(np.searchsorted(key, passing, "right"))
+                yield out(fp[:more], None, key[:more], used[:more])
+                fp, key, used = fp[more:], key[more:], used[more:]
+                passing = passing if not len(key) else None
+            heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            last = int(heads[-1]) if len(heads) else 0
+            sizes = np.diff(heads)
+            wide = np.repeat(sizes > group, sizes)
+            yield out(fp[:last][wide], None, key[:last][wide], used[:last][wide])
+            small = sizes[sizes <= group]
+            links = group_links(fp[:last][~wide].view(np.uint64), np.append(0, np.cumsum(small)))
+            yield out(links[:, 0], links[:, 1], None, None)
+            held = [fp[last:], key[last:], used[last:]]
+            if len(held[0]) > group:
+                passing = int(key[-1])
+                yield out(held[0], None, held[1], held[2])
+                held = [h[:0] for h in held]
+        links = group_links(held[0].view(np.uint64), np.array([0, len(held[0])]))
+        yield out(links[:, 0], links[:, 1], None, None)
+
+    sorted_ = rows.select("fp", "key", "used").repartition("key").sortWithinPartitions("key")
+    return written(sorted_.mapInArrow(found, "a long, b long, key long, used long"), "simhash-met")
 
 
 def links_between(prints: DataFrame, group: int = GROUP) -> DataFrame:
@@ -178,13 +208,12 @@ def links_between(prints: DataFrame, group: int = GROUP) -> DataFrame:
     links: list[DataFrame] = []
     known = {((1 << width) - 1) << low for low, width in cuts(64, SEGMENTS)}
     while True:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter("n > 1")
-        met = written(rows.join(sizes, "key"), "simhash-met")
-        small = met.filter(F.col("n") <= group).groupBy("key").agg(F.collect_list("fp").alias("members"))
-        links.append(written(_links(small), "simhash-links"))
-        large = met.filter(F.col("n") > group)
+        met = _met(rows, group)
+        links.append(met.filter("key is null").select("a", "b"))
+        large = met.filter("key is not null").select("key", F.col("a").alias("fp"), "used")
         if large.isEmpty():
             return _all(links).distinct()
+        large = large.join(large.groupBy("key").agg(F.min("fp").alias("pivot")), "key")
         near = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= DISTANCE
         close = large.filter(near & (F.col("fp") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("fp").alias("b"))
         links.append(written(close.distinct(), "simhash-links"))
@@ -211,14 +240,18 @@ def link_documents(documents: DataFrame, group: int = GROUP) -> DataFrame:
     close to zero. Null ids are never the smallest; a component of null ids only has a null ``component_id``. Repeated
     rows stay. Columns of the same names stay beside the new ones.
     """
-    place = documents.columns.index("doc_id")
-    names = [f"c{k}" for k in range(len(documents.columns))]
-    marked = with_fingerprints(documents).toDF(*names, "fp")
-    prints = marked.groupBy("fp").agg(F.min(names[place]).alias("least"))
-    prints = written(prints, "simhash-prints")
+    return link_prints(with_fingerprints(documents), group)
+
+
+def link_prints(marked: DataFrame, group: int = GROUP) -> DataFrame:
+    """The same for rows that have a ``fingerprint`` as their last column; they are read twice."""
+    place = marked.columns.index("doc_id")
+    names = [f"c{k}" for k in range(len(marked.columns) - 1)]
+    rows = marked.toDF(*names, "fp")
+    prints = written(rows.groupBy("fp").agg(F.min(names[place]).alias("least")), "simhash-prints")
     roots = written(components(links_between(prints.select("fp"), group)), "simhash-roots")
     named = prints.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select(F.col("fp").alias("own"), "component_id")
-    out = marked.join(named, F.col("fp") == F.col("own")).select(*names, "fp", "component_id")
-    return out.toDF(*documents.columns, "fingerprint", "component_id")
+    out = rows.join(named, F.col("fp") == F.col("own")).select(*names, "fp", "component_id")
+    return out.toDF(*marked.columns, "component_id")

@@ -22,7 +22,7 @@ from cellwave.llm import (
     url_trie,
     warc,
 )
-from cellwave.llm.common import new_place, shipped
+from cellwave.llm.common import new_place, shipped, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -257,5 +257,6 @@ def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op13_simhash_links")
 def op13_simhash_links(spark: SparkSession, folder: str) -> DataFrame:
-    rows = simhash_links.link_documents(table(spark, folder, "documents").select("doc_id", "text"))
+    marked = simhash_links.with_fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
+    rows = simhash_links.link_prints(written(marked.drop("text"), "simhash-rows"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
