@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellwave.model import KEY, Signal
 from cellwave.operators.axes import axis_lengths, merge_axes
-from cellwave.operators.ordinal import joined_aggregate
+from cellwave.operators.packed import with_statistics
 
 
 @dataclass(frozen=True)
@@ -203,9 +203,7 @@ def point_statistics(
 
 def to_pointset(sig: Signal, threshold: float) -> DataFrame:
     """Cells above a share of the sample's peak modulus as ``(axes..., value)`` points."""
-    rows = joined_aggregate(
-        sig.cells.select(*sig.keys(), sig.magnitude.alias("value")), [KEY], F.max("value").alias("_peak")
-    )
+    rows = with_statistics(sig.with_parts(value=sig.magnitude), [KEY], F.max("value").alias("_peak"))
     return rows.where(F.col("value") > threshold * F.col("_peak")).drop("_peak")
 
 

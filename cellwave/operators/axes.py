@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwave.model import KEY, Signal
-from cellwave.operators.ordinal import joined_aggregate
 
 
 def axis_lengths(sig: Signal, *axes: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Element-wise operators and normalisers.
 
-Statistics are grouped aggregates joined back: a sample that holds most of the
-cells is reduced by partial aggregation before anything shuffles.
+Statistics come from packed rows of cells, in one read: a sample that holds most
+of the cells is many of them. ``packed.py``
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cellwave.functions.columns import SPEED_OF_LIGHT, clamp
 from cellwave.model import KEY, Signal
 from cellwave.operators.axes import with_lengths
-from cellwave.operators.ordinal import joined_aggregate
+from cellwave.operators.packed import with_statistics
 
 # Smallest positive step of the 64-bit float type.
 FLOAT_EPS = 2.220446049250313e-16
@@ -46,7 +46,7 @@ def _scaled(sig: Signal, df: DataFrame, factor: Column, **shift: Column) -> Sign
 
 def minmax(sig: Signal, low: float = 0.0, high: float = 1.0, eps: float = 1e-8) -> Signal:
     sig.require(kind="real")
-    df = joined_aggregate(sig.cells, [KEY], F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    df = with_statistics(sig, [KEY], F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     unit = (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + eps)
     return sig.with_cells(df.withColumn("value", unit * (high - low) + low))
 
@@ -58,7 +58,7 @@ def _zscored(sig: Signal, keys: Sequence[str], eps: float) -> Signal:
         means = [F.avg("re").alias("_m_re"), F.avg("im").alias("_m_im")]
     else:
         std, means = F.stddev_samp("value"), [F.avg("value").alias("_m_value")]
-    df = joined_aggregate(sig.cells, list(keys), std.alias("_std"), *means)
+    df = with_statistics(sig, list(keys), std.alias("_std"), *means)
     floor = F.when(F.col("_std").isNotNull(), F.greatest(F.col("_std"), F.lit(eps)))
     return _scaled(sig, df, 1.0 / floor, **{p: F.col(f"_m_{p}") for p in sig.parts})
 
@@ -68,7 +68,7 @@ def _norm(sig: Signal) -> Column:
 
 
 def _l2(sig: Signal, keys: Sequence[str], eps: float) -> Signal:
-    df = joined_aggregate(sig.cells, list(keys), _norm(sig).alias("_norm"))
+    df = with_statistics(sig, list(keys), _norm(sig).alias("_norm"))
     return _scaled(sig, df, 1.0 / F.greatest(F.col("_norm"), F.lit(eps)))
 
 
@@ -110,7 +110,7 @@ def subcarrier_l1(
 ) -> Signal:
     """Divide by the summed modulus along an axis; listed readers pass unchanged."""
     sig.require(axis, kind="complex")
-    df = joined_aggregate(sig.cells, sig.keys(axis), F.sum(F.hypot("re", "im")).alias("_sum"))
+    df = with_statistics(sig, sig.keys(axis), F.sum(F.hypot("re", "im")).alias("_sum"))
     factor = 1.0 / F.greatest(F.col("_sum"), F.lit(eps))
     if skip_reader_ids:
         df = df.join(sig.samples.select(KEY, "reader_id"), on=KEY)
@@ -126,8 +126,7 @@ def spatial_channels(sig: Signal, channel: str = "channel", eps: float = 1e-8) -
     one aggregation is enough.
     """
     sig.require(channel, kind="real")
-    df = joined_aggregate(
-        sig.cells, [KEY, channel],
+    df = with_statistics(sig, [KEY, channel],
         F.min("value").alias("_lo"), F.max("value").alias("_hi"),
         F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_std"),
     )
@@ -146,7 +145,7 @@ def rssi_normalize(sig: Signal, low: float = -100.0, high: float = 0.0) -> Signa
 def cir_normalize(sig: Signal, axis: str = "tap", eps: float = 1e-12) -> Signal:
     """Divide by the peak modulus along the tap axis."""
     sig.require(axis)
-    df = joined_aggregate(sig.cells, sig.keys(axis), F.max(sig.magnitude).alias("_peak"))
+    df = with_statistics(sig, sig.keys(axis), F.max(sig.magnitude).alias("_peak"))
     return _scaled(sig, df, 1.0 / F.greatest(F.col("_peak"), F.lit(eps)))
 
 

@@ -215,12 +215,3 @@ def median(df: DataFrame, keys: list[str], value: str, name: str, average: bool
         (F.col("_rank") < F.col("_cum")) & (F.col("_rank") >= F.col("_cum") - F.col("_c"))
     )
     return hits.groupBy(*keys).agg(F.avg(value).alias(name))
-
-
-def joined_aggregate(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
-    """Attach group aggregates to every row.
-
-    Partial aggregation runs before the exchange, so a hot key moves one row
-    per task; AQE splits a skewed join side.
-    """
-    return df.join(df.groupBy(*keys).agg(*aggs), on=keys)

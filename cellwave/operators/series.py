@@ -18,7 +18,8 @@ from cellwave.functions.kernels import array_kernel, butterworth, decay_length,
 from cellwave.model import KEY, Signal
 from cellwave.operators.axes import select_index, with_lengths
 from cellwave.operators.normalize import subcarrier_l1
-from cellwave.operators.ordinal import joined_aggregate, with_halo
+from cellwave.operators.ordinal import with_halo
+from cellwave.operators.packed import with_statistics
 
 CHUNK = 65536
 LONG_AXES = ("time", "frame", "sample", "point", "packet")
@@ -441,5 +442,5 @@ def center_group(sig: Signal, axis: str = "group", sizes: dict[str, int] | None
 def remove_static_clutter(sig: Signal, axis: str = "chirp") -> Signal:
     """Subtract the mean along an axis."""
     sig.require(axis)
-    df = joined_aggregate(sig.cells, sig.keys(axis), *(F.avg(p).alias(f"_m_{p}") for p in sig.parts))
+    df = with_statistics(sig, sig.keys(axis), *(F.avg(p).alias(f"_m_{p}") for p in sig.parts))
     return sig.with_cells(df.withColumns({p: F.col(p) - F.col(f"_m_{p}") for p in sig.parts}))

@@ -19,7 +19,8 @@ from cellwave.functions.columns import SPEED_OF_SOUND
 from cellwave.functions.kernels import array_kernel, gaussian_window, periodic_window
 from cellwave.model import KEY, Signal
 from cellwave.operators.axes import axis_lengths, pack_series, with_lengths
-from cellwave.operators.ordinal import joined_aggregate, with_halo
+from cellwave.operators.ordinal import with_halo
+from cellwave.operators.packed import with_statistics
 
 
 def map_series(
@@ -213,7 +214,7 @@ def dense_doppler(
     +/-max_doppler rolled so that negative frequencies come first.
     """
     sig.require("time", "subc", "tx", "rx", kind="complex")
-    means = joined_aggregate(sig.cells, sig.keys("time"), F.avg("re").alias("_mr"), F.avg("im").alias("_mi"))
+    means = with_statistics(sig, sig.keys("time"), F.avg("re").alias("_mr"), F.avg("im").alias("_mi"))
     free = sig.with_cells(means.withColumns({"re": F.col("re") - F.col("_mr"), "im": F.col("im") - F.col("_mi")}))
     packed, per_chunk = _framed(free, "time", nfft, window_step, "constant", sizes, span)
     weights = gaussian_window(window_size, float(window_size))
