@@ -11,36 +11,36 @@ from pyspark.sql import functions as F
 from cellwave.functions.columns import SPEED_OF_LIGHT
 from cellwave.functions.kernels import array_kernel, periodic_window
 from cellwave.model import KEY, Signal
-from cellwave.operators.spectral import _exploded, map_block, map_series
+from cellwave.operators.spectral import _exploded, map_block, map_linear
 
 
-def range_fft(sig: Signal, axis: str = "adc", window: str = "hann", n_fft: int | None = None) -> Signal:
+def range_fft(sig: Signal, axis: str = "adc", window: str = "hann", n_fft: int | None = None, method: str = "auto") -> Signal:
     """Windowed orthonormal FFT over fast time."""
 
     def kernel(x):
         return np.fft.fft(x * periodic_window(window, x.shape[1]), n=n_fft, axis=1, norm="ortho")
 
-    return map_series(sig, axis, kernel, "range")
+    return map_linear(sig, axis, kernel, "range", method)
 
 
-def doppler_fft(sig: Signal, axis: str = "chirp", window: str = "hann", fft_shift: bool = True) -> Signal:
+def doppler_fft(sig: Signal, axis: str = "chirp", window: str = "hann", fft_shift: bool = True, method: str = "auto") -> Signal:
     """Windowed orthonormal FFT over slow time, zero velocity in the middle."""
 
     def kernel(x):
         out = np.fft.fft(x * periodic_window(window, x.shape[1]), axis=1, norm="ortho")
         return np.fft.fftshift(out, axes=1) if fft_shift else out
 
-    return map_series(sig, axis, kernel, "doppler")
+    return map_linear(sig, axis, kernel, "doppler", method)
 
 
-def angle_fft(sig: Signal, axis: str = "ant", num_bins: int = 64, fft_shift: bool = True) -> Signal:
+def angle_fft(sig: Signal, axis: str = "ant", num_bins: int = 64, fft_shift: bool = True, method: str = "auto") -> Signal:
     """Zero-padded orthonormal FFT over antennas."""
 
     def kernel(x):
         out = np.fft.fft(x, n=num_bins, axis=1, norm="ortho")
         return np.fft.fftshift(out, axes=1) if fft_shift else out
 
-    return map_series(sig, axis, kernel, "angle")
+    return map_linear(sig, axis, kernel, "angle", method)
 
 
 def radar_cube(sig: Signal, num_angle_bins: int = 64, window: str = "hann") -> Signal:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwave.functions.columns import SPEED_OF_SOUND
@@ -42,6 +42,48 @@ def map_series(
     return replace(sig.with_cells(cells, names, {new_axis: None}), coords=None)
 
 
+#: Most entries of a transform's table up to which cells meet it in the JVM.
+TABLE_ENTRIES = 1 << 10
+
+
+def transform_table(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
+    """``_n, _k, _wr, _wi`` of a ``[length, bins]`` matrix, made in the JVM; at most ``TABLE_ENTRIES`` rows by choice."""
+    flat, bins = matrix.astype(complex).ravel(), F.lit(matrix.shape[1])
+    at = F.col("id")
+    weights = [F.element_at(F.lit(part.tolist()), (at + 1).cast("int")).alias(n) for part, n in ((flat.real, "_wr"), (flat.imag, "_wi"))]
+    return spark.range(0, len(flat), 1, 1).select(F.floor(at / bins).alias("_n"), F.pmod(at, bins).alias("_k"), *weights)
+
+
+def join_table(sig: Signal, axis: str, matrix: np.ndarray, new_axis: str) -> Signal:
+    """A linear transform of one axis as a join with its broadcast table and sums that tasks combine before they move."""
+    table = transform_table(sig.cells.sparkSession, matrix)
+    rows = sig.cells.join(F.broadcast(table), F.col(axis) == F.col("_n"))
+    re = F.col("re") if sig.is_complex else F.col("value")
+    real, imag = re * F.col("_wr"), re * F.col("_wi")
+    if sig.is_complex:
+        real, imag = real - F.col("im") * F.col("_wi"), imag + F.col("im") * F.col("_wr")
+    cells = rows.groupBy(*sig.keys(axis), F.col("_k").alias(new_axis)).agg(F.sum(real).alias("re"), F.sum(imag).alias("im"))
+    names = [new_axis if a == axis else a for a in sig.axes]
+    return replace(sig.with_cells(cells, names, {new_axis: matrix.shape[1]}), coords=None)
+
+
+def map_linear(sig: Signal, axis: str, kernel: Callable, new_axis: str, method: str = "auto") -> Signal:
+    """A linear kernel of one axis: ``sql`` joins cells with the kernel's matrix, ``arrays`` runs it on packed series.
+
+    ``auto`` takes ``sql`` where the axis has a declared size and its matrix at most ``TABLE_ENTRIES`` entries.
+    """
+    sig.require(axis)
+    if method not in ("auto", "sql", "arrays"):
+        raise ValueError(f"unknown method {method!r}")
+    size = sig.sizes.get(axis)
+    if method == "sql" and not size:
+        raise ValueError(f"the sql method needs a declared size of {axis!r}")
+    matrix = kernel(np.eye(size)) if size and method != "arrays" and (method == "sql" or size * size <= TABLE_ENTRIES) else None
+    if matrix is not None and (method == "sql" or matrix.size <= TABLE_ENTRIES):
+        return join_table(sig, axis, matrix, new_axis)
+    return map_series(sig, axis, kernel, new_axis)
+
+
 def _exploded(done: DataFrame, keys: Sequence[str], axis: str, real: bool) -> DataFrame:
     zipped = F.col("_y") if real else F.arrays_zip(F.col("_y.re").alias("re"), F.col("_y.im").alias("im"))
     cells = done.select(*keys, F.posexplode(zipped).alias("_i", "_c"))
@@ -49,12 +91,12 @@ def _exploded(done: DataFrame, keys: Sequence[str], axis: str, real: bool) -> Da
     return cells.select(*keys, F.col("_i").cast("bigint").alias(axis), *parts)
 
 
-def fft(sig: Signal, axis: str = "time", norm: str = "ortho", new_axis: str = "freq") -> Signal:
-    return map_series(sig, axis, lambda x: np.fft.fft(x, axis=1, norm=norm), new_axis)
+def fft(sig: Signal, axis: str = "time", norm: str = "ortho", new_axis: str = "freq", method: str = "auto") -> Signal:
+    return map_linear(sig, axis, lambda x: np.fft.fft(x, axis=1, norm=norm), new_axis, method)
 
 
-def inverse_fft(sig: Signal, axis: str = "freq", norm: str = "ortho", new_axis: str = "time") -> Signal:
-    return map_series(sig, axis, lambda x: np.fft.ifft(x, axis=1, norm=norm), new_axis)
+def inverse_fft(sig: Signal, axis: str = "freq", norm: str = "ortho", new_axis: str = "time", method: str = "auto") -> Signal:
+    return map_linear(sig, axis, lambda x: np.fft.ifft(x, axis=1, norm=norm), new_axis, method)
 
 
 def frequency(idx: Column, n: Column, rate: Column, onesided: bool = False) -> Column:
@@ -446,7 +488,7 @@ def beamform(
 
 def fmcw_demod(
     sig: Signal, sample_rate: float, center_freq: float, bandwidth: float, n_fft: int | None = None,
-    window: str = "hann", axis: str = "sample",
+    window: str = "hann", axis: str = "sample", method: str = "auto",
 ) -> Signal:
     """Mix with the reference chirp, window, FFT: sample becomes range."""
     if min(sample_rate, center_freq, bandwidth) <= 0:
@@ -460,7 +502,7 @@ def fmcw_demod(
         shape = periodic_window(window if window in ("hann", "hamming") else None, n)
         return np.fft.fft(x * np.conj(chirp) * shape, n=n_fft or n, axis=1)
 
-    return map_series(sig, axis, kernel, "range")
+    return map_linear(sig, axis, kernel, "range", method)
 
 
 def _largest_low_divisor(n: Column) -> Column:
