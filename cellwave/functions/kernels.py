@@ -162,3 +162,76 @@ def zero_phase(x: np.ndarray, b: np.ndarray, a: np.ndarray, head: bool = True, t
     forward = iir(extended, b, a, extended[:, :1] * settled)
     backward = iir(forward[:, ::-1], b, a, forward[:, -1:] * settled)[:, ::-1]
     return backward[:, left.shape[1] : left.shape[1] + x.shape[1]]
+
+
+#: Widest window that is sorted as a strided view; wider ones are ranked in a wavelet matrix.
+SORTED_WINDOW = 64
+
+
+class RangeRanks:
+    """Order statistics of any stretches of an array of distinct ranks ``0..n-1``: a wavelet matrix.
+
+    Level by level the numbers are dealt by one bit, zeros first; a count of zeros leads a stretch from one level to
+    the next, so a query costs one step a bit whatever the stretch's length, and all stretches are asked at once.
+    """
+
+    def __init__(self, ranks: np.ndarray) -> None:
+        self.bits = max(int(len(ranks) - 1).bit_length(), 1)
+        self.zeros, self.split = [], []
+        for bit in range(self.bits - 1, -1, -1):
+            zero = (ranks >> bit & 1) == 0
+            self.zeros.append(np.append(0, np.cumsum(zero)))
+            self.split.append(int(self.zeros[-1][-1]))
+            ranks = np.concatenate([ranks[zero], ranks[~zero]])
+
+    def smallest(self, low: np.ndarray, high: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The ``k``-th smallest rank (from 0) of each stretch ``[low, high)``."""
+        low, high, k, out = low.copy(), high.copy(), k.copy(), np.zeros(len(low), np.int64)
+        for zeros, split in zip(self.zeros, self.split):
+            a, b = zeros[low], zeros[high]
+            up = k >= b - a
+            out = out * 2 + up
+            k = np.where(up, k - (b - a), k)
+            low, high = np.where(up, split + low - a, a), np.where(up, split + high - b, b)
+        return out
+
+
+def _window_medians(rank: np.ndarray, mag: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-median modulus, lower-median deviation from it and upper-median rank of each window; ``mag`` is by rank."""
+    n = len(rank)
+    at = np.arange(n)
+    low, high = np.maximum(at - half, 0), np.minimum(at + half + 1, n)
+    size = high - low
+    lower, upper = (size + 1) // 2 - 1, size // 2
+    if 2 * half + 1 <= SORTED_WINDOW:
+        padded = np.concatenate([np.full(half, n), rank, np.full(half, n)])
+        inside = np.sort(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1), axis=1)
+        median = mag[inside[at, lower]]
+        gaps = np.sort(np.abs(np.append(mag, np.inf)[inside] - median[:, None]), axis=1)
+        return median, gaps[at, lower], inside[at, upper]
+    ranks = RangeRanks(rank)
+    median = mag[ranks.smallest(low, high, lower)]
+    # deviations fall up to the median and rise after it: of the lower + 1 nearest cells, find where the first is
+    first, last = np.zeros(n, np.int64), size - 1 - lower
+    while (open_ := first < last).any():
+        middle = (first + last) // 2
+        left = median - mag[ranks.smallest(low, high, middle)]
+        right = mag[ranks.smallest(low, high, np.minimum(middle + lower + 1, size - 1))] - median
+        first = np.where(open_ & (left > right), middle + 1, first)
+        last = np.where(open_ & ~(left > right), middle, last)
+    ends = [np.abs(mag[ranks.smallest(low, high, k)] - median) for k in (first, first + lower)]
+    return median, np.maximum(*ends), ranks.smallest(low, high, upper)
+
+
+def hampel(x: np.ndarray, half: int, limit: float) -> np.ndarray:
+    """Each row with its outliers replaced by their window's upper-median cell, ties by parts; NaN is the largest."""
+    out = np.array(x)
+    for row, own in zip(out, x if x.size else x[:0]):
+        mag = np.abs(own)
+        order = np.lexsort((np.imag(own), np.real(own), mag))
+        rank = np.empty(len(own), np.int64)
+        rank[order] = np.arange(len(own))
+        median, deviation, upper = _window_medians(rank, mag[order], half)
+        gap, most = np.abs(mag - median), limit * deviation
+        row[:] = np.where((gap > most) | (np.isnan(gap) & ~np.isnan(most)), own[order[upper]], own)
+    return out

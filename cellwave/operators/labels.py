@@ -11,24 +11,24 @@ from cellwave.operators.ordinal import global_ordinal
 
 
 def encode_first_appearance(df: DataFrame, target: str, pos: str = "pos") -> DataFrame:
-    """Add ``label``: strings are numbered by first appearance, integers kept."""
+    """Add ``label``: strings are numbered by first appearance, integers kept; a null target has a null label."""
     if dict(df.dtypes)[target] != "string":
         return df.withColumn("label", F.col(target).cast("bigint"))
-    firsts = df.groupBy(target).agg(F.min(pos).alias("_first"))
+    firsts = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.min(pos).alias("_first"))
     codes, _ = global_ordinal(firsts, ["_first"], name="label")
-    return df.join(codes.select(target, "label"), on=target)
+    return df.join(codes.select(target, "label"), on=target, how="left")
 
 
 def encode_sorted(
     df: DataFrame, target: str, mapping: dict[str, int] | None = None
 ) -> DataFrame:
-    """Add ``label`` by sorted unique value; an explicit map wins."""
+    """Add ``label`` by sorted unique value; an explicit map wins. A null target has a null label."""
     if mapping:
         pairs = [p for k, v in mapping.items() for p in (F.lit(k), F.lit(int(v)))]
         code = F.create_map(*pairs)[F.col(target)].cast("bigint")
         return df.withColumn("label", code)
-    codes, _ = global_ordinal(df.select(target).distinct(), [target], name="label")
-    return df.join(codes, on=target)
+    codes, _ = global_ordinal(df.where(F.col(target).isNotNull()).select(target).distinct(), [target], name="label")
+    return df.join(codes, on=target, how="left")
 
 
 def invert_label_map(idx_to_label: dict) -> dict[str, int]:

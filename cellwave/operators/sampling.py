@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwave.functions.columns import shuffle_key
+from cellwave.functions.columns import null_safe, shuffle_key
 from cellwave.operators.ordinal import bucketed_lag, bucketed_ordinal, running_sum
 
 CELL_STEP = 1024
@@ -101,11 +101,11 @@ def key_set_counts(df: DataFrame, target: str = "target") -> DataFrame:
 
 
 def balanced_head(df: DataFrame, label: str, limit: int, pos: str = "pos") -> DataFrame:
-    """The first row of every label, then other rows by label and position, up to a limit."""
+    """The first row of every label (null is one, and the first), then other rows by label and position, up to a limit."""
     firsts = df.groupBy(label).agg(F.min(pos).alias("_first"))
     rest = F.when(F.col(pos) == F.col("_first"), 0).otherwise(1)
     return (
-        df.join(firsts, on=label)
+        null_safe(df, firsts, [label])
         .withColumn("_rest", rest)
         .orderBy("_rest", label, pos)
         .limit(limit)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwave.functions.columns import SPEED_OF_LIGHT, floor_mod
-from cellwave.functions.kernels import array_kernel, butterworth, decay_length, zero_phase
+from cellwave.functions.kernels import array_kernel, butterworth, decay_length, hampel, zero_phase
 from cellwave.model import KEY, Signal
 from cellwave.operators.axes import select_index, with_lengths
 from cellwave.operators.normalize import subcarrier_l1
@@ -37,27 +37,22 @@ def hampel_filter(
     """Replace outliers by the window's upper-median cell.
 
     The limit uses the lower median of the modulus and the lower-median MAD;
-    windows shrink at the ends of a series.
+    windows shrink at the ends of a series. Chunks of a series are packed with
+    the halo that their windows need.
     """
     sig.require(axis)
     if window % 2 == 0:
         raise ValueError(f"window must be odd, got {window}")
     half = window // 2
     rows = with_halo(sig.cells, axis, axis_chunk(axis, chunk), half, half)
-    near = (
-        Window.partitionBy(*sig.keys(axis), "_chunk").orderBy(axis).rowsBetween(-half, half)
-    )
-    cell = F.struct(sig.magnitude.alias("mag"), *sig.parts)
-    rows = rows.withColumn("_w", F.array_sort(F.collect_list(cell).over(near))).where("_own")
-    n = F.size("_w")
-    low_median = F.element_at(F.col("_w"), F.floor((n + 1) / 2).cast("int"))["mag"]
-    rows = rows.withColumn("_med", low_median)
-    gaps = F.array_sort(F.transform("_w", lambda c: F.abs(c["mag"] - F.col("_med"))))
-    mad = F.element_at(gaps, F.floor((n + 1) / 2).cast("int"))
-    outlier = F.abs(sig.magnitude - F.col("_med")) > threshold * MAD_SCALE * mad
-    upper = F.element_at(F.col("_w"), F.floor(n / 2).cast("int") + 1)
-    parts = {p: F.when(outlier, upper[p]).otherwise(F.col(p)) for p in sig.parts}
-    return sig.with_cells(rows.select(*sig.keys(), *(e.alias(p) for p, e in parts.items())))
+    packed = rows.groupBy(*sig.keys(axis), "_chunk").agg(F.array_sort(F.collect_list(F.struct(axis, "_own", *sig.parts))).alias("_rows"))
+    packed = packed.select(*sig.keys(axis), "_rows", *(F.col(f"_rows.{p}").alias(p) for p in sig.parts))
+    kernel = array_kernel(lambda x: hampel(x, half, threshold * MAD_SCALE), sig.parts, real=not sig.is_complex)
+    done = packed.withColumn("_y", kernel)
+    clean = [F.col("_y.re").alias("re"), F.col("_y.im").alias("im")] if sig.is_complex else [F.col("_y").alias("value")]
+    zipped = F.arrays_zip(F.col(f"_rows.{axis}").alias(axis), F.col("_rows._own").alias("own"), *clean)
+    out = done.select(*sig.keys(axis), F.explode(F.filter(zipped, lambda c: c["own"])).alias("_c"))
+    return sig.with_cells(out.select(*sig.keys(axis), *(F.col(f"_c.{c}").alias(c) for c in (axis, *sig.parts))))
 
 
 def _wrapped_step(step: Column, limit: float) -> Column:

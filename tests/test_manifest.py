@@ -198,3 +198,14 @@ def test_a_row_of_nearly_all_weight_loses_no_draw(spark):
     rows, draws = got.agg(F.count("*"), F.count_distinct("draw")).first()
     assert rows == draws == n
     assert got.where("pos = 700").count() > 0.999 * n
+
+
+def test_rows_without_a_label_stay(spark):
+    rows = [(0, "b", 1), (1, None, 2), (2, "a", 3), (3, None, 4), (4, "b", 5)]
+    df = spark.createDataFrame(rows, "pos long, target string, x int").repartition(3)
+    assert [r.label for r in labels.encode_first_appearance(df, "target").orderBy("pos").collect()] == [0, None, 1, None, 0]
+    assert [r.label for r in labels.encode_sorted(df, "target").orderBy("pos").collect()] == [1, None, 0, None, 1]
+    head = sampling.balanced_head(df, "target", 4)
+    assert [r.pos for r in head.collect()] == [1, 2, 0, 3]
+    made = splits.dataset_from_samples(df.withColumn("sample_id", F.concat(F.lit("s"), "pos")), sample="sample_id")
+    assert sorted(r.pos for r in made.collect()) == [0, 1, 2, 3, 4] and made.where("split is null").isEmpty()
