@@ -25,7 +25,10 @@ MAGIC = b"CWTOKENS"
 #: magic, bits an id, ids a block, partition, segment of the partition, documents, tokens, blocks, bytes of all
 HEAD = struct.Struct("<8sIIqqqqqq")
 BLOCK = 4096
-SEGMENT_TOKENS = 4 << 20
+SEGMENT_TOKENS = 1 << 18
+SLICE_BYTES = 1 << 20
+#: Rows are dealt to files by id and so many characters of their text, so that one id may take many files.
+TEXT_KEY = 32
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
@@ -108,7 +111,7 @@ def write_tokens(documents: DataFrame, place: str, vocabulary: str = WORD_BPE, e
             raw = segment_bytes(part, number, docs, [len(x) // 4 for x in raws], ids, bits)
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["segment"])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             for doc, raw in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1).to_pylist()), strict=True):
                 docs.append(doc)
                 raws.append(raw + end)
@@ -120,8 +123,7 @@ def write_tokens(documents: DataFrame, place: str, vocabulary: str = WORD_BPE, e
             yield close()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = max(rows.rdd.getNumPartitions(), 1)
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id", F.left("text", F.lit(TEXT_KEY))).sortWithinPartitions("doc_id", "text")
     # raw bytes as a string: the text writer writes them as they are
     ordered.mapInArrow(encoded, "segment binary").select(F.col("segment").cast("string").alias("value")).write.text(place)
 
@@ -159,10 +161,14 @@ def read_tokens(spark: SparkSession, place: str, columns: Sequence[str | Column]
                             names,
                         )
 
-    # one row per segment, so the single window below stays small
     sizes = files.mapInArrow(totals, "part long, number long, tokens long")
-    before = W.Window.orderBy("part", "number").rowsBetween(W.Window.unboundedPreceding, -1)
-    bases = sizes.select("part", "number", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    before = W.Window.partitionBy("part").orderBy("number").rowsBetween(W.Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("inside", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    # one row per file, so the single window below stays small
+    before = W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("part").agg(F.sum("tokens").alias("tokens"))
+    parts = parts.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
+    bases = sizes.join(parts, "part").select("part", "number", (F.col("first") + F.col("inside")).alias("base"))
     rows = files.mapInArrow(documents, "part long, number long, doc_id long, local long, n_tokens long, ids binary")
     rows = rows.select("part", "number", "doc_id", "local", "n_tokens", *columns)
     return rows.join(bases, ["part", "number"]).withColumn("start", F.col("base") + F.col("local")).drop(
