@@ -120,9 +120,13 @@ def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
 
 def iir(x: np.ndarray, b: np.ndarray, a: np.ndarray, state: np.ndarray, block: int = 64) -> np.ndarray:
     """Causal IIR filter of every row, block by block as matrix products."""
+    return iir_states(x, b, a, state, block)[0]
+
+
+def iir_states(x: np.ndarray, b: np.ndarray, a: np.ndarray, state: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The filtered rows and the state that each leaves behind."""
     order = len(a) - 1
-    step = np.eye(order, k=1)
-    step[:, 0] -= a[1:]
+    step = state_step(a)
     drive = b[1:] - a[1:] * b[0]
     powers = [np.eye(order)]
     for _ in range(block):
@@ -137,9 +141,15 @@ def iir(x: np.ndarray, b: np.ndarray, a: np.ndarray, state: np.ndarray, block: i
         part = x[:, start : start + block]
         m = part.shape[1]
         out[:, start : start + m] = state @ from_state[:m].T + part @ toeplitz[:m, :m].T
-        if m == block:
-            state = state @ powers[block].T + part @ to_state.T
-    return out
+        state = state @ powers[m].T + part @ to_state[:, block - m :].T
+    return out, state
+
+
+def state_step(a: np.ndarray) -> np.ndarray:
+    """How a filter's state moves on in one sample without input."""
+    step = np.eye(len(a) - 1, k=1)
+    step[:, 0] -= a[1:]
+    return step
 
 
 def decay_length(a: np.ndarray, tolerance: float = 1e-18) -> int:

@@ -11,6 +11,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellwave.functions.columns import null_safe
 from cellwave.model import KEY, Signal
 
 
@@ -25,7 +26,7 @@ def with_lengths(sig: Signal, *axes: str, sizes: dict[str, int] | None = None) -
     """Cells with axis lengths, taken from ``sizes`` where the caller knows them."""
     sizes = {**sig.sizes, **(sizes or {})}
     unknown = [a for a in axes if a not in sizes]
-    cells = sig.cells.join(axis_lengths(sig, *unknown), on=KEY) if unknown else sig.cells
+    cells = null_safe(sig.cells, axis_lengths(sig, *unknown), [KEY]) if unknown else sig.cells
     return cells.withColumns({f"_len_{a}": F.lit(sizes[a]).cast("bigint") for a in axes if a in sizes})
 
 

@@ -10,15 +10,28 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from cellwave.functions.columns import SPEED_OF_LIGHT, floor_mod
-from cellwave.functions.kernels import array_kernel, butterworth, decay_length, hampel, zero_phase
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from cellwave.functions.columns import SPEED_OF_LIGHT, floor_mod, null_safe
+from cellwave.functions.kernels import (
+    array_kernel,
+    butterworth,
+    decay_length,
+    hampel,
+    iir_states,
+    state_step,
+    steady_state,
+    zero_phase,
+)
 from cellwave.model import KEY, Signal
 from cellwave.operators.axes import select_index, with_lengths
 from cellwave.operators.normalize import subcarrier_l1
-from cellwave.operators.ordinal import with_halo
+from cellwave.operators.ordinal import with_halo, written
 from cellwave.operators.packed import with_statistics
 
 CHUNK = 65536
@@ -189,9 +202,11 @@ def temporal_filter(
 ) -> Signal:
     """Zero-phase Butterworth low-pass, then high-pass, along time.
 
-    A long series is filtered in chunks. The halo is long enough for both
-    filters to forget an artificial chunk border to 1e-18, so chunked and
-    whole results agree to rounding; odd extension applies at real ends only.
+    A long series is filtered in chunks. Where a chunk is longer than both
+    filters take to forget its border to 1e-18, chunks overlap by that halo;
+    filters that remember longer carry their state from chunk to chunk
+    (``scanned_filter``). Both agree with a whole series to rounding; odd
+    extension applies at real ends only.
     """
     sig.require(axis, kind="complex")
     upper = min(float(lowpass_hz), sample_rate / 2.0 - 1.0)
@@ -202,8 +217,10 @@ def temporal_filter(
         butterworth(highpass_order, float(highpass_hz), sample_rate, "high"),
     ]
     halo = sum(decay_length(a) + 3 * len(a) for _, a in stages)
-    length = max(axis_chunk(axis, chunk), halo)
+    length = axis_chunk(axis, chunk)
     cells = with_lengths(sig, axis, sizes=sizes)
+    if halo > length:
+        return scanned_filter(sig, cells, stages, axis, length)
     rows = with_halo(cells, axis, length, halo, halo)
     keys = [*sig.keys(axis), "_chunk"]
     packed = rows.groupBy(*keys).agg(
@@ -230,6 +247,103 @@ def temporal_filter(
     return sig.with_cells(out.select(*sig.keys(axis), f"_c.{axis}", "_c.re", "_c.im"))
 
 
+def _series_packs(sig: Signal, cells: DataFrame, axis: str, length: int) -> DataFrame:
+    """``(keys, _chunk, _last, _pack)``: samples of each chunk as complex numbers; the last chunk takes the rest."""
+    last = F.greatest(F.floor(F.col(f"_len_{axis}") / F.lit(length)), F.lit(1)) - 1
+    at = F.least(F.floor(F.col(axis) / F.lit(length)), last)
+    rows = cells.withColumns({"_chunk": at, "_last": last}).groupBy(*sig.keys(axis), "_chunk").agg(
+        F.max("_last").alias("_last"), F.array_sort(F.collect_list(F.struct(axis, "re", "im"))).alias("_rows")
+    )
+    return rows.select(*sig.keys(axis), "_chunk", "_last", F.col("_rows.re").alias("re"), F.col("_rows.im").alias("im"))
+
+
+def _map_chunks(rows: DataFrame, fn, schema: T.StructType) -> DataFrame:
+    """``fn(row) -> dict`` for every chunk; a task holds one chunk at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([fn(row)], to_arrow_schema(schema))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _scan(keys: list[str], step: np.ndarray, settled: np.ndarray, backward: bool):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The state that each chunk of one series begins with."""
+        pdf = pdf.sort_values("_chunk", ascending=not backward)
+        first = pdf.iloc[0]
+        state, out, powers = settled * (first["x_re"] + 1j * first["x_im"]), [], {}
+        for n, re, im in zip(pdf["n"], pdf["end_re"], pdf["end_im"]):
+            out.append(state)
+            if n not in powers:
+                powers[n] = np.linalg.matrix_power(step, n)
+            state = powers[n] @ state + np.array(re) + 1j * np.array(im)
+        return pdf[[*keys, "_chunk"]].assign(begin_re=[s.real for s in out], begin_im=[s.imag for s in out])
+
+    return run
+
+
+def scanned_filter(sig: Signal, cells: DataFrame, stages: list[tuple[np.ndarray, np.ndarray]], axis: str, length: int) -> Signal:
+    """Zero-phase filters of series in chunks that carry the filter's state, exact for any memory.
+
+    A chunk's last state is its response to its own samples from rest plus the matrix power of its length times the
+    state before. Such steps compose, so one row a chunk gives every chunk the state it begins with: forward, then
+    backward over what the forward pass made. A series is read once a pass; no group is larger than two chunks' cells
+    or a row a chunk.
+    """
+    if length <= 3 * max(len(a) for _, a in stages):
+        raise ValueError(f"chunks of {length} are not longer than the padding")
+    keys = sig.keys(axis)
+    rows = _series_packs(sig, cells, axis, length)
+    short = F.size("re") <= 3 * max(len(a) for _, a in stages)
+    rows = written(rows.withColumn("re", F.when(short, F.raise_error(F.lit("a series is not longer than the padding"))).otherwise(F.col("re"))), "filter-packs")
+    numbers = T.ArrayType(T.DoubleType())
+    kept = [rows.schema[c] for c in (*keys, "_chunk", "_last")]
+    packs = T.StructType([*kept, T.StructField("re", numbers), T.StructField("im", numbers)])
+    ends = T.StructType([*kept, *(T.StructField(c, numbers) for c in ("end_re", "end_im")),
+                         T.StructField("n", T.LongType()), T.StructField("x_re", T.DoubleType()), T.StructField("x_im", T.DoubleType())])
+    begins = T.StructType([*(rows.schema[c] for c in (*keys, "_chunk")), *(T.StructField(c, numbers) for c in ("begin_re", "begin_im"))])
+    for b, a in stages:
+        edge, settled, step = 3 * len(a), steady_state(b, a), state_step(a)
+
+        def whole(row: dict, x: np.ndarray, edge: int = edge) -> np.ndarray:
+            """A chunk with the odd extension at the real ends."""
+            left = 2 * x[:1] - x[edge:0:-1] if row["_chunk"] == 0 else x[:0]
+            right = 2 * x[-1:] - x[-2 : -edge - 2 : -1] if row["_chunk"] == row["_last"] else x[:0]
+            return np.concatenate([left, x, right])
+
+        def sample(row: dict) -> np.ndarray:
+            return np.array(row["re"]) + 1j * np.array(row["im"])
+
+        def same(row: dict) -> dict:
+            return {c: row[c] for c in (*keys, "_chunk", "_last")}
+
+        def turned(x: np.ndarray, backward: bool) -> np.ndarray:
+            return x[::-1] if backward else x
+
+        for backward in (False, True):
+
+            def end(row: dict, b=b, a=a, backward=backward, whole=whole) -> dict:
+                x = turned(sample(row) if backward else whole(row, sample(row)), backward)
+                _, state = iir_states(x[None], b, a, np.zeros((1, len(a) - 1), complex))
+                return same(row) | {"end_re": state[0].real, "end_im": state[0].imag, "n": len(x), "x_re": x[0].real, "x_im": x[0].imag}
+
+            def through(row: dict, b=b, a=a, backward=backward, whole=whole, edge=edge) -> dict:
+                x = sample(row) if backward else whole(row, sample(row))
+                state = (np.array(row["begin_re"]) + 1j * np.array(row["begin_im"]))[None]
+                y = turned(iir_states(turned(x, backward)[None], b, a, state)[0][0], backward)
+                if backward:  # what the extension made goes
+                    y = y[edge if row["_chunk"] == 0 else 0 : len(y) - (edge if row["_chunk"] == row["_last"] else 0)]
+                return same(row) | {"re": y.real, "im": y.imag}
+
+            starts = _map_chunks(rows, end, ends).groupBy(*keys).applyInPandas(_scan(keys, step, settled, backward), begins)
+            rows = written(_map_chunks(null_safe(rows, starts, [*keys, "_chunk"]), through, packs), "filter-packs")
+    at = F.posexplode(F.arrays_zip("re", "im")).alias("_i", "_c")
+    out = rows.select(*keys, "_chunk", at)
+    return sig.with_cells(out.select(*keys, (F.col("_chunk") * length + F.col("_i")).alias(axis), "_c.re", "_c.im"))
+
+
 def wifi_preprocess(sig: Signal, skip_reader_ids: Sequence[str] = (), **filter_args) -> Signal:
     """Subcarrier L1, adjacent-rx conjugate, temporal filter."""
     return temporal_filter(adjacent_rx_conjugate(subcarrier_l1(sig, skip_reader_ids=skip_reader_ids)), **filter_args)
