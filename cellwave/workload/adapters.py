@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from cellwave.model import KEY
 from cellwave.operators import adapters, normalize
-from cellwave.plans import compose, presets
+from cellwave.plans import compose, presets, templates
 from cellwave.workload.elementwise import lineitem_signal
 from cellwave.workload.registry import query
 from cellwave.workload.spectral import CUBE, CUBE_SQL, ROUND
-from cellwave.workload.views import complex_signal, complex_sql, real_signal, real_sql, rounded, sample_table
+from cellwave.workload.views import complex_signal, complex_sql, long_signal, real_signal, real_sql, rounded, sample_table
 
 TSR = dict(time=8, subc=2, rx=2)
 
@@ -138,6 +138,26 @@ def _(t):
 
 @query("csi_sequence_preset")
 def _(t):
-    sig = complex_signal(t, samples=sample_table(t), time=16, subc=1, tx=1, rx=2)
-    preset = presets.csi_sequence(lowpass_order=2, highpass_order=1, sample_zscore=True)
-    return rounded(preset(sig), 5)
+    return rounded(presets.csi_sequence(sample_zscore=True)(long_signal(t)), 5)
+
+
+@query("csi_sequence_template")
+def _(t):
+    done = templates.build(templates.CSI_SEQUENCE, skip_reader_ids=("reader1",), sample_zscore=True)(long_signal(t))
+    return rounded(done, 5)
+
+
+SPECTRUM = dict(window_size=16, window_step=4, nfft=40, max_doppler_hz=6, sample_rate=40, band_pass={
+    "lowpass_hz": 8.0, "highpass_hz": 1.0, "lowpass_order": 6, "highpass_order": 3})
+
+
+@query("dense_spectrum_template")
+def _(t):
+    lattice = {"totals": {"link": 2, "subcarrier": 9, "freq": 13, "time": 5000}, "kept": {"link": [1], "subcarrier": [1, 2, 5, 8]}}
+    done = templates.build(templates.DENSE_SPECTRUM, templates.COMPLEX_IMAGE, lattice=lattice, **SPECTRUM)(long_signal(t))
+    return rounded(done, 5)
+
+
+@query("radar_cube_template", f"WITH {CUBE_SQL} SELECT sample_id, doppler, range, angle, {ROUND} FROM cube")
+def _(t):
+    return rounded(templates.build(templates.RADAR_CUBE, num_bins=4)(complex_signal(t, **CUBE)), 5)

@@ -131,10 +131,10 @@ def _(t):
     return rounded(axes.temporal_resize(complex_signal(t, time=8, subc=4), "time", 11))
 
 
-@query("temporal_resize_corners", f"""WITH {real_sql(**TS)},
- h AS (SELECT k, CAST(floor(k * 15 / 5.0) AS BIGINT) AS i, k * 15 / 5.0 - floor(k * 15 / 5.0) AS w FROM range(6) q(k))
-SELECT a.sample_id, h.k AS time, a.subc, round(a.value * (1 - w) + b.value * w, 6) + 0.0 AS value
-FROM h JOIN c a ON a.time = h.i JOIN c b ON b.time = least(15, h.i + 1) AND b.sample_id = a.sample_id AND b.subc = a.subc""")
+@query("temporal_resize_corners", """WITH h AS (SELECT k, CAST(floor(k * 15 / 5.0) AS INT) AS i, k * 15 / 5.0 - floor(k * 15 / 5.0) AS w FROM range(6) q(k))
+SELECT vec_id AS sample_id, h.k AS time, s.subc,
+ round(CAST(embedding[4 * i + s.subc + 1] AS DOUBLE) * (1 - w) + CAST(embedding[4 * least(15, i + 1) + s.subc + 1] AS DOUBLE) * w, 6) + 0.0 AS value
+FROM embeddings, h, range(4) s(subc)""")
 def _(t):
     return rounded(axes.temporal_resize(real_signal(t, **TS), "time", 6, align_corners=True))
 

@@ -8,7 +8,7 @@ from cellwave.functions.columns import seconds
 from cellwave.model import KEY, Signal
 from cellwave.operators import normalize, ordinal, series, splits
 from cellwave.workload.registry import query
-from cellwave.workload.views import complex_signal, complex_sql, real_signal, real_sql, rounded, sample_table
+from cellwave.workload.views import complex_signal, complex_sql, long_signal, real_signal, real_sql, rounded, sample_table
 
 TSR = dict(time=4, subc=4, rx=2)
 
@@ -109,18 +109,19 @@ def _(t):
 
 @query("wifi_preprocess")
 def _(t):
-    sig = complex_signal(t, samples=sample_table(t), time=16, subc=1, rx=2)
-    args = dict(FILTER, lowpass_order=2, highpass_order=1)
-    return rounded(series.wifi_preprocess(sig, ["reader1"], **args))
+    args = {"lowpass_hz": 60.0, "highpass_hz": 2.0, "lowpass_order": 6, "highpass_order": 3}
+    return rounded(series.wifi_preprocess(long_signal(t), ["reader1"], sample_rate=1000, **args))
 
 
 # weights of subcarriers 0, 5, 6 and 15 of 16 from their known neighbours
 LINEAR_SQL = "w(t, s, w) AS (VALUES (0, 1, 2.0), (0, 2, -1.0), (5, 4, 2 / 3.0), (5, 7, 1 / 3.0), (6, 4, 1 / 3.0), (6, 7, 2 / 3.0), (15, 13, -1.0), (15, 14, 2.0))"
 
 
-@query("pilot_interpolate", f"""WITH {real_sql(time=4, subc=16)}, {LINEAR_SQL}
-SELECT sample_id, time, CAST(t AS BIGINT) AS subc, round(sum(w * value), 6) + 0.0 AS value FROM c JOIN w ON s = subc GROUP BY 1, 2, 3
-UNION ALL SELECT sample_id, time, subc, round(value, 6) + 0.0 FROM c WHERE subc NOT IN (0, 5, 6, 15)""")
+@query("pilot_interpolate", f"""WITH {LINEAR_SQL}
+SELECT vec_id AS sample_id, q.time, CAST(t AS BIGINT) AS subc, round(sum(w * CAST(embedding[16 * q.time + s + 1] AS DOUBLE)), 6) + 0.0 AS value
+FROM embeddings, range(4) q(time), w GROUP BY 1, 2, 3
+UNION ALL SELECT vec_id, q.time, k.subc, round(CAST(embedding[16 * q.time + k.subc + 1] AS DOUBLE), 6) + 0.0
+FROM embeddings, range(4) q(time), range(16) k(subc) WHERE k.subc NOT IN (0, 5, 6, 15)""")
 def _(t):
     return rounded(series.pilot_interpolate(real_signal(t, time=4, subc=16), [0, 5, 6, 15], 16))
 

@@ -39,6 +39,15 @@ def complex_signal(t, samples=None, coords=None, **sizes: int) -> Signal:
     return Signal(cells, tuple(sizes), samples, coords, sizes)
 
 
+def long_signal(t) -> Signal:
+    """25 captures of the embeddings one after another: four time steps of (subc 4, tx 1, rx 2) from each."""
+    flat = complex_signal(t, time=4, rx=2, subc=4, tx=1).cells
+    at = F.floor(F.col(KEY) / 25) * 4 + F.col("time")
+    capture = F.pmod(F.col(KEY), F.lit(25))
+    cells = flat.select(capture.alias(KEY), at.alias("time"), "subc", "tx", "rx", "re", "im")
+    return Signal(cells, ("time", "subc", "tx", "rx"), sample_table(t), sizes={"subc": 4, "tx": 1, "rx": 2})
+
+
 def real_signal(t, samples=None, coords=None, **sizes: int) -> Signal:
     """Each embedding as 64 real cells."""
     flat = t.embeddings.select(F.col("vec_id").alias(KEY), F.posexplode("embedding").alias("_j", "_v"))
