@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellwave.functions.columns import null_safe, shuffle_key
 from cellwave.operators.ordinal import bucketed_lag, bucketed_ordinal, running_sum
 
 CELL_STEP = 1024
+PART_ROWS = 1 << 16
+MOST_PARTS = 1 << 16
 
 
 def shuffled_order(df: DataFrame, sample: str, seed: int, name: str = "order") -> DataFrame:
@@ -65,6 +70,64 @@ def weighted_resample(
     )
 
 
+def alias_table(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Walker's tables: column ``k`` keeps itself below ``keep[k]`` and goes to ``other[k]`` above."""
+    n = len(weights)
+    keep, other = weights * (n / weights.sum()), np.arange(n)
+    small, large = list(np.flatnonzero(keep < 1)[::-1]), list(np.flatnonzero(keep >= 1)[::-1])
+    while small and large:
+        low, high = small.pop(), large[-1]
+        other[low] = high
+        keep[high] -= 1 - keep[low]
+        if keep[high] < 1:
+            small.append(large.pop())
+    keep[small + large] = 1.0  # what rounding left over
+    return keep, other
+
+
+def alias_resample(df: DataFrame, weight: str, seed: int, pos: str = "pos", part_rows: int = PART_ROWS) -> DataFrame:
+    """As many draws as rows, with replacement, in proportion to ``weight``, numbered by ``draw``.
+
+    Rows are dealt to parts. How many draws each part gets is one multinomial draw over the parts' weights (of which
+    there are at most ``MOST_PARTS``); inside a part draws come from Walker's table, at one step each whatever the
+    weights are. A part of much weight is drawn in shares of ``part_rows`` draws, each by a task that makes the same
+    table. ``pos`` names each row; rows of null, zero or negative weight are never drawn. The same seed and rows give
+    the same draws however they are partitioned.
+    """
+    spark = df.sparkSession
+    weighed = df.where((F.col(weight) > 0) & F.col(pos).isNotNull())
+    total, rows = df.count(), weighed.count()
+    if not rows:
+        return df.limit(0).withColumn("draw", F.lit(0).cast("bigint"))
+    parts = max(min(-(-rows // part_rows), MOST_PARTS), 1)
+    weighed = weighed.withColumn("_part", F.pmod(F.xxhash64(pos, F.lit(seed)), F.lit(parts)))
+    sums = weighed.groupBy("_part").agg(F.sum(F.col(weight).cast("double")).alias("w")).orderBy("_part").toArrow()
+    share = sums["w"].to_numpy() / sums["w"].to_numpy().sum()
+    draws = np.random.default_rng([seed, parts]).multinomial(total, share)
+    shares = -(-draws // part_rows)
+    part = np.repeat(sums["_part"].to_numpy(), shares)
+    number = np.arange(len(part)) - np.repeat(np.cumsum(shares) - shares, shares)
+    count = np.minimum(part_rows, np.repeat(draws, shares) - number * part_rows)
+    plan = pa.table({"_part": part, "_share": number, "_count": count, "_first": np.cumsum(count) - count})
+    # a row a share: two for each part at most, plus one for each ``part_rows`` draws
+    spread = weighed.join(F.broadcast(spark.createDataFrame(plan)), "_part")
+    names = df.columns
+    at = names.index(weight)
+
+    def drawn(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(pos, "ascending")])
+        keep, other = alias_table(table.column(at).to_numpy().astype(float))
+        part, number, count, first = (table[c][0].as_py() for c in ("_part", "_share", "_count", "_first"))
+        pick = np.random.default_rng([seed, part, number])
+        column = pick.integers(0, len(keep), count)
+        chosen = np.where(pick.random(count) < keep[column], column, other[column])
+        return table.select(names).take(pa.array(chosen)).append_column("draw", pa.array(first + np.arange(count)))
+
+    schema = T.StructType([*df.schema.fields, T.StructField("draw", T.LongType())])
+    columns = [*names, "_part", "_share", "_count", "_first"]
+    return spread.select(*columns).groupBy("_part", "_share").applyInArrow(drawn, schema)
+
+
 def weight_count_problem(df: DataFrame, weight: str) -> DataFrame:
     """One row when some rows have no weight."""
     return df.agg(

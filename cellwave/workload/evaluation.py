@@ -56,6 +56,12 @@ def _(t):
     return sampling.weighted_resample(rows, "value", 9).select("draw", "event_id")
 
 
+@query("alias_resample")
+def _(t):
+    rows = t.events.select("event_id", F.col("event_id").alias("pos"), "value")
+    return sampling.alias_resample(rows, "value", 9).select("draw", "event_id")
+
+
 @query("weight_count_problem", """SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(nullif(o_orderstatus, 'P')) AS BIGINT) AS weights FROM orders""")
 def _(t):
     rows = t.orders.select(F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("w"))
