@@ -69,6 +69,66 @@ def dataset_digest(df: DataFrame) -> DataFrame:
     return df.agg(*multiset_digest(row))
 
 
+def row_hash(df: DataFrame) -> Column:
+    return F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def merkle_tree(df: DataFrame, key: str) -> DataFrame:
+    """``level, bucket, digest, n``: digests of 65536 hash buckets of the key (level 2), of 256 groups of them, and of all.
+
+    A bucket is two and four hex digits of the key's sha-256. Buckets are order-free sums that combine before they
+    move; a group digests its buckets in order, the root (level 0, bucket '') its groups. Empty buckets have no row.
+    """
+    place = F.substring(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")), 256), 1, 4)
+    rows = df.select(place.alias("bucket"), row_hash(df).alias("h"))
+    leaves = rows.groupBy("bucket").agg(*multiset_digest(F.col("h")))
+    group = _parents(leaves, F.substring("bucket", 1, 2))
+    root = _parents(group, F.lit(""))
+    parts = [(2, leaves), (1, group), (0, root)]
+    tables = [t.select(F.lit(level).alias("level"), "bucket", "digest", "n") for level, t in parts]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+
+
+def _parents(nodes: DataFrame, bucket: Column) -> DataFrame:
+    """Digests of at most 256 nodes each."""
+    lines = F.sort_array(F.collect_list(F.concat_ws(":", "bucket", "digest")))
+    return nodes.groupBy(bucket.alias("bucket")).agg(F.sha2(F.array_join(lines, ","), 256).alias("digest"), F.sum("n").alias("n"))
+
+
+def differing_buckets(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``bucket``: those of level 2 that differ, looked for under differing groups only; none where the roots agree."""
+
+    def differing(level: int, above: DataFrame | None) -> DataFrame:
+        a, b = (t.where(F.col("level") == level).select("bucket", F.col("digest").alias(d)) for t, d in ((left, "_a"), (right, "_b")))
+        if above is not None:
+            parent = F.substring("bucket", 1, 2 * level - 2)
+            a, b = (t.join(F.broadcast(above), parent == F.col("_above"), "left_semi") for t in (a, b))
+        both = a.join(b, "bucket", "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")))
+        return both.select(F.col("bucket").alias("_above"))
+
+    groups = differing(1, differing(0, None))
+    return differing(2, groups).withColumnRenamed("_above", "bucket")
+
+
+def digest_diff(left: DataFrame, right: DataFrame, key: str, left_tree: DataFrame, right_tree: DataFrame) -> DataFrame:
+    """``key, change``: rows ``added``, ``removed`` or ``changed`` from left to right.
+
+    Only rows of differing buckets are compared, of which there are at most 65536. Rows that share a key are compared
+    as a bag.
+    """
+    buckets = F.broadcast(differing_buckets(left_tree, right_tree))
+    place = F.substring(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")), 256), 1, 4)
+
+    def opened(df: DataFrame, digest: str) -> DataFrame:
+        rows = df.select(key, place.alias("bucket"), row_hash(df).alias("h")).join(buckets, "bucket", "left_semi")
+        return rows.groupBy(key).agg(multiset_digest(F.col("h"))[0].alias(digest))
+
+    a, b = opened(left, "_a"), opened(right, "_b").withColumnRenamed(key, "_key")
+    both = a.join(b, F.col(key).eqNullSafe(F.col("_key")), "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")))
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").otherwise("changed")
+    return both.select(F.when(F.col("_a").isNull(), F.col("_key")).otherwise(F.col(key)).alias(key), change.alias("change"))
+
+
 def file_checksums(files: DataFrame, content: str = "content") -> DataFrame:
     """sha-256 per file of a binaryFile listing."""
     return files.withColumn("digest", F.sha2(F.col(content), 256)).drop(content)

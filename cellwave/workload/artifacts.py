@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cellwave.operators import artifacts
+from cellwave.operators import artifacts, ordinal
 from cellwave.operators.ordinal import shared_folder
 from cellwave.workload.registry import query
 
@@ -24,6 +24,35 @@ def _(t):
     return artifacts.dataset_digest(rows)
 
 
+def event_rows(t, changed: bool = False):
+    """Events as manifest rows; the changed ones lack every 97th, have every 89th twice as much and a few more."""
+    rows = t.events.select("user_id", F.col("event_type").alias("label"), F.col("event_id").alias("sample_id"))
+    if not changed:
+        return rows
+    more = rows.where("sample_id % 101 = 0").withColumn("sample_id", -F.col("sample_id") - 1)
+    kept = rows.where("sample_id % 97 <> 0").withColumn("user_id", F.when(F.col("sample_id") % 89 == 0, F.col("user_id") * 2 + 1).otherwise(F.col("user_id")))
+    return kept.unionByName(more)
+
+
+@query("merkle_tree", f"""WITH r AS (SELECT substr(sha256(CAST(event_id AS VARCHAR)), 1, 4) AS bucket,
+   sha256('{{"label":"' || event_type || '","sample_id":' || event_id || ',"user_id":' || user_id || '}}') AS h FROM events),
+ l AS (SELECT bucket, sha256(CAST(count(*) AS VARCHAR) || ',' || {LANES}) AS digest, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY 1),
+ g AS (SELECT substr(bucket, 1, 2) AS bucket, sha256(string_agg(bucket || ':' || digest, ',' ORDER BY bucket)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM l GROUP BY 1)
+SELECT 2 AS level, * FROM l UNION ALL SELECT 1, * FROM g
+UNION ALL SELECT 0, '', sha256(string_agg(bucket || ':' || digest, ',' ORDER BY bucket)), CAST(sum(n) AS BIGINT) FROM g""")
+def _(t):
+    return artifacts.merkle_tree(event_rows(t), "sample_id")
+
+
+@query("digest_diff", """SELECT event_id AS sample_id, CASE WHEN event_id % 97 = 0 THEN 'removed' ELSE 'changed' END AS change FROM events
+WHERE event_id % 97 = 0 OR (event_id % 89 = 0 AND user_id * 2 + 1 <> user_id)
+UNION ALL SELECT -event_id - 1, 'added' FROM events WHERE event_id % 101 = 0""")
+def _(t):
+    old, new = event_rows(t), event_rows(t, True)
+    trees = [ordinal.written(artifacts.merkle_tree(rows, "sample_id"), "merkle") for rows in (old, new)]
+    return artifacts.digest_diff(old, new, "sample_id", *trees)
+
+
 def document_files(t):
     return t.documents.select(
         F.concat(F.lit("corpus/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("path"),

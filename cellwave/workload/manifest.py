@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellwave.operators import catalogue, labels, leakage, manifest, splits
+from cellwave.operators import catalogue, labels, leakage, manifest, ordinal, splits
+from cellwave.sources import sinks
 from cellwave.workload.registry import Tables, query
 
 # a manifest: room is null for status P, so null semantics are exercised
@@ -242,6 +243,24 @@ def _(t):
     return manifest.get_split(rows, "3", candidate_fields=("fold", "split")).select("sample_id")
 
 
+@query("written_split", f"WITH {MANIFEST_SQL} SELECT sample_id, room, price FROM m WHERE segment = 'BUILDING'")
+def _(t):
+    path = f"{ordinal.shared_folder(t.spark)}/splits-{t.spark.sparkContext.applicationId}"
+    sinks.write_splits(orders_manifest(t).withColumnRenamed("segment", "split"), path)
+    return sinks.read_split(t.spark, path, "BUILDING").select("sample_id", "room", "price")
+
+
+@query("bucketed_join", f"""WITH {MANIFEST_SQL}
+SELECT sample_id, price, count(*) AS lines, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM m JOIN lineitem ON l_orderkey = sample_id GROUP BY 1, 2""")
+def _(t):
+    name = "cellwave_" + t.spark.sparkContext.applicationId.replace("-", "_")
+    sinks.write_bucketed(orders_manifest(t).select("sample_id", "price"), f"{name}_samples", buckets=16)
+    sinks.write_bucketed(t.lineitem.select(F.col("l_orderkey").alias("sample_id"), "l_quantity"), f"{name}_lines", buckets=16)
+    samples, lines = t.spark.table(f"{name}_samples"), t.spark.table(f"{name}_lines")
+    rows = samples.join(lines.hint("merge"), "sample_id").groupBy("sample_id", "price")
+    return rows.agg(F.count("*").alias("lines"), F.sum("l_quantity").cast("double").alias("quantity"))
+
+
 @query("get_split_fallback", f"WITH {MANIFEST_SQL} SELECT sample_id FROM m WHERE segment = 'BUILDING'")
 def _(t):
     # no partition value matches, so the plain split column decides
