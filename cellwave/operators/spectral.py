@@ -319,18 +319,33 @@ def _chunk_windows(sig: Signal, axis: str, chunk: int, before: int, after: int)
 
 def autocorrelation(
     sig: Signal, axis: str = "time", max_lag: int | None = None, normalized: bool = True, value: str = "real",
-    chunk: int = 65536, long_series: bool = False,
+    chunk: int = 65536, long_series: bool | None = None,
 ) -> Signal:
     """Autocorrelation at lags 0..max_lag, divided by lag 0 if normalised.
 
     Chunks add up the products of their own starts. Without ``max_lag`` every
-    lag needs the whole series: a bounded one is packed, and ``long_series``
-    takes the power spectrum of the zero-padded series instead.
+    lag needs the whole series: one of up to ``chunk`` cells is packed, a longer
+    one goes through the power spectrum of the zero-padded series. Declared
+    sizes or ``long_series`` decide for all series at once; else each sample's
+    own length does.
     """
     view = _real_view(sig, value)
-    if max_lag is None and long_series:
-        return _scaled_lags(view, axis, _spectral_lags(view, axis), normalized)
-    size = chunk if max_lag is not None else 1 << 40
+    if max_lag is not None:
+        return _scaled_lags(view, axis, _packed_lags(view, axis, chunk, max_lag), normalized)
+    known = view.sizes.get(axis)
+    if long_series is None and known is None:
+        cells = with_lengths(view, axis)
+        near, far = (view.with_cells(cells.where(c)) for c in (F.col(f"_len_{axis}") <= chunk, F.col(f"_len_{axis}") > chunk))
+        sums = _packed_lags(near, axis, 1 << 40, None).unionByName(_spectral_lags(far, axis))
+    elif long_series or (long_series is None and known > chunk):
+        sums = _spectral_lags(view, axis)
+    else:
+        sums = _packed_lags(view, axis, 1 << 40, None)
+    return _scaled_lags(view, axis, sums, normalized)
+
+
+def _packed_lags(view: Signal, axis: str, size: int, max_lag: int | None) -> DataFrame:
+    """Sums of products at each lag, chunk by chunk."""
     packed = _chunk_windows(view, axis, size, 0, max_lag or 0)
 
     def kernel(x, owned):
@@ -340,8 +355,7 @@ def autocorrelation(
         return np.fft.irfft(np.conj(own) * np.fft.rfft(x, n=n, axis=1), n=n, axis=1)[:, :lags]
 
     done = packed.withColumn("_y", array_kernel(kernel, ["value"], F.col("_owned"), real=True))
-    sums = _exploded(done, sig.keys(axis), "lag", True).groupBy(*sig.keys(axis), "lag").agg(F.sum("value").alias("value"))
-    return _scaled_lags(view, axis, sums, normalized)
+    return _exploded(done, view.keys(axis), "lag", True).groupBy(*view.keys(axis), "lag").agg(F.sum("value").alias("value"))
 
 
 def _spectral_lags(sig: Signal, axis: str) -> DataFrame:
