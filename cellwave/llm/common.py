@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,7 +43,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     place = new_place(spark, label)
     df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    table = spark.read.schema(df.schema).parquet(place)
+    table.written_place = place
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove ``written`` tables that nothing will read again, and the shuffle files of jobs that are over.
+
+    Spark removes the latter once the driver has collected what refers to them.
+    """
+    for table in tables:
+        jvm, context = table.sparkSession._jvm, table.sparkSession.sparkContext._jsc
+        path = jvm.org.apache.hadoop.fs.Path(table.written_place)
+        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def shipped(spark: SparkSession) -> SparkSession:

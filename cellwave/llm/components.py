@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwave.llm.common import written
+from cellwave.llm.common import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,8 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        state = written(small, "edges")
+        before, state = state, written(small, "edges")
         now = _mark(state)
+        dropped(before, large)
         if now == mark:
             break
         mark = now
