@@ -50,17 +50,17 @@ def apply_binding(
 def capture_problems(manifest: DataFrame, listing: DataFrame, path: str = "path", code: str = "BB") -> DataFrame:
     """Manifest rows with ``reason``: missing, too short, bad header, or null when valid.
 
-    ``listing(path, length, head)`` holds each file's first three bytes.
+    ``listing(path, length, head)`` holds each file's first three bytes. A listed file of unknown length is not missing.
     """
-    files = listing.select(path, "length", "head")
+    files = listing.select(path, "length", "head", F.lit(True).alias("_listed"))
     size = F.conv(F.hex(F.substring("head", 1, 2)), 16, 10).cast("bigint")
     reason = (
-        F.when(F.col("length").isNull(), "missing")
+        F.when(F.col("_listed").isNull(), "missing")
         .when(F.col("length") < 3, "too_short")
         .when(F.hex(F.substring("head", 3, 1)) != code, "bad_code")
         .when(F.col("length") - 3 < size - 1, "incomplete_packet")
     )
-    return manifest.join(files, on=path, how="left").withColumn("reason", reason).drop("length", "head")
+    return manifest.join(files, on=path, how="left").withColumn("reason", reason).drop("length", "head", "_listed")
 
 
 def coordinate_length_problems(cells: DataFrame, coords: DataFrame, axes: Sequence[str]) -> DataFrame:
