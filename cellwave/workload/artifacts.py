@@ -119,9 +119,9 @@ def _(t):
     return artifacts.trace_problems(kept.unionByName(invented), events)
 
 
-@query("leaderboard", """WITH r AS (SELECT user_id, count(*) AS n, avg(value) AS a FROM events GROUP BY 1)
+@query("leaderboard", """WITH r AS (SELECT user_id, count(*) AS n, round(avg(value), 8) AS a FROM events GROUP BY 1)
 SELECT user_id AS run_id, CASE WHEN user_id % 3 = 0 THEN 'mae' ELSE 'accuracy' END AS primary_metric,
- CASE WHEN user_id % 5 <> 0 AND user_id % 3 <> 0 THEN round(a, 4) END AS value,
+ CASE WHEN user_id % 5 <> 0 AND user_id % 3 <> 0 THEN CAST(CAST(CAST(a AS VARCHAR) AS DECIMAL(38, 4)) AS DOUBLE) END AS value,
  CASE WHEN user_id % 5 = 0 THEN 'not_completed' WHEN user_id % 3 = 0 THEN 'missing_primary_metric' END AS problem FROM r""")
 def _(t):
     board = artifacts.leaderboard(logged_runs(t))
@@ -130,7 +130,8 @@ def _(t):
 
 def logged_runs(t):
     """Runs written as JSON lines in the shared folder and read back."""
-    stats = t.events.groupBy(F.col("user_id").alias("run_id")).agg(F.avg("value").alias("a"))
+    # the order of a sum shows in its last bits, and would decide between two roundings of a half
+    stats = t.events.groupBy(F.col("user_id").alias("run_id")).agg(F.round(F.avg("value"), 8).alias("a"))
     runs = stats.select(
         "run_id",
         F.when(F.col("run_id") % 5 == 0, "failed").otherwise("completed").alias("status"),
@@ -143,11 +144,11 @@ def logged_runs(t):
     return artifacts.read_runs(t.spark, path, schema)
 
 
-@query("run_reports", """WITH r AS (SELECT user_id, avg(value) AS a FROM events GROUP BY 1)
+@query("run_reports", """WITH r AS (SELECT user_id, round(avg(value), 8) AS a FROM events GROUP BY 1)
 SELECT user_id AS run_id, '# Benchmark Report' || chr(10) || chr(10) || '## Run Manifest' || chr(10) || '- run_id: ' || user_id || chr(10)
  || '- status: ' || CASE WHEN user_id % 5 = 0 THEN 'failed' ELSE 'completed' END || chr(10)
  || '- primary_metric: ' || CASE WHEN user_id % 3 = 0 THEN 'mae' ELSE 'accuracy' END || chr(10) || chr(10) || '## Metrics' || chr(10)
- || printf('- accuracy: %.4f', a) || chr(10) || printf('- rmse: %.4f', a * 2) || chr(10) AS report FROM r""")
+ || '- accuracy: ' || CAST(CAST(a AS VARCHAR) AS DECIMAL(38, 4)) || chr(10) || '- rmse: ' || CAST(CAST(a * 2 AS VARCHAR) AS DECIMAL(38, 4)) || chr(10) AS report FROM r""")
 def _(t):
     return artifacts.run_reports(logged_runs(t))
 

@@ -1,6 +1,7 @@
 """Queries against their SQL on rows that the small tables lack."""
 
 import duckdb
+import pytest
 from oracle import compare
 
 from cellwave.operators import audit
@@ -26,3 +27,12 @@ def test_listed_capture_of_unknown_length_is_not_missing(spark):
     listing = spark.createDataFrame([("a", None, bytes.fromhex("012CBB"))], "path string, length long, head binary")
     manifest = spark.createDataFrame([("a",), ("b",)], "path string")
     assert {r.path: r.reason for r in audit.capture_problems(manifest, listing).collect()} == {"a": None, "b": "missing"}
+
+
+@pytest.mark.parametrize("name", ["run_reports", "leaderboard"])
+def test_means_halfway_between_two_roundings(spark, tmp_path, name):
+    # 80 values in hundredths: means end in whole multiples of 1.25e-4, which often lie halfway
+    rows = [(user, (user * 7919 * (k + 3) ** 2 % 9973) / 100) for user in range(1, 400) for k in range(80)]
+    spark.createDataFrame(rows, "user_id long, value double").repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    count, problems = agrees(spark, tmp_path, name, "events")
+    assert (count, problems) == (399, [])
