@@ -13,18 +13,19 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellwave.llm.common import slices
+
 SEGMENT = 16 << 10
 CHUNK = 4 << 10
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
-READ_STEP = 1 << 20
+READ_STEP = SLICE_BYTES = 1 << 20
 RECORDS = (
     "record_id string, type string, page_id long, refers_to long, digest string, payload_length long, "
     "origin string, number long, total long, block binary"
@@ -163,7 +164,7 @@ def write_archives(pages: DataFrame, place: str, segment: int = SEGMENT) -> None
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches, "payload", SLICE_BYTES):
             out = []
             for row in batch.to_pylist():
                 count += 1
@@ -180,35 +181,59 @@ def _number(text: str | None) -> int | None:
     return int(text) if text and text != "None" else None
 
 
-def read_records(spark: SparkSession, place: str) -> DataFrame:
-    """A row per record of all archives under ``place``, with its own block."""
+def read_records(spark: SparkSession, place: str, segmented: bool | None = None) -> DataFrame:
+    """A row per record of all archives under ``place``, with its own block; of segmented records or of others only if asked.
+
+    Others alone come with ``payload`` and ``decoded_digest`` of responses instead of a block: one worker a task reads
+    and decodes.
+    """
+    decode = segmented is False
+    names = RECORDS + (", payload binary, decoded_digest string" if decode else "")
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORDS.split(", ")]
         kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-        schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in RECORDS.split(", ")])
+        schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in names.split(", ")])
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
         for batch in batches:
             for content in batch.column(0):
-                rows = []
+                rows, held = [], 0
                 for f, block in records_in(content.as_py()):
                     refers = re.match(r"<urn:page:(-?\d+)", f.get("warc-refers-to", ""))
+                    number = _number(f.get("warc-segment-number"))
+                    if segmented is not None and segmented != (number is not None):
+                        continue
+                    extra = ()
+                    if decode:
+                        extra = (None, None)
+                        if f["warc-type"] == "response":
+                            payload = payload_of(block)
+                            extra, block = (payload, digest(payload)), None
                     rows.append((
                         f["warc-record-id"], f["warc-type"], _number(f.get("x-page-id")), refers and int(refers[1]),
                         f.get("warc-payload-digest", "").removeprefix("sha1:"), _number(f.get("x-payload-length")),
-                        f.get("warc-segment-origin-id"), _number(f.get("warc-segment-number")),
-                        _number(f.get("warc-segment-total-length")), block,
+                        f.get("warc-segment-origin-id"), number, _number(f.get("warc-segment-total-length")), block, *extra,
                     ))
-                    if len(rows) >= 1000:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
-                        rows = []
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
+                    held += len(block if block is not None else extra[0])
+                    if len(rows) >= 1000 or held >= SLICE_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+                yield batch_of(rows)
 
-    return spark.read.format("binaryFile").load(place).select("content").mapInArrow(parsed, RECORDS)
+    return spark.read.format("binaryFile").load(place).select("content").mapInArrow(parsed, names)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
     """Responses and revisits, the segments of each in one ``block``; raises where one is missing or too many."""
     whole = records.filter("number is null").drop("origin", "number", "total")
+    return whole.unionByName(joined_segments(records))
+
+
+def joined_segments(records: DataFrame) -> DataFrame:
+    """The responses that lie in more than one record."""
     parts = records.filter("number is not null").withColumn("origin", F.coalesce("origin", "record_id"))
     rows = parts.groupBy("origin").agg(
         F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"),
@@ -220,7 +245,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     right = gapless & (F.octet_length("block") == F.col("total"))
     problem = F.raise_error(F.concat(F.lit("segments don't add up: "), F.col("origin"))).cast("binary")
     rows = rows.withColumn("block", F.when(F.coalesce(right, F.lit(False)), F.col("block")).otherwise(problem))
-    return whole.unionByName(rows.withColumnRenamed("origin", "record_id").drop("parts", "total"))
+    return rows.withColumnRenamed("origin", "record_id").drop("parts", "total")
 
 
 def read_pages(spark: SparkSession, place: str) -> DataFrame:
@@ -229,14 +254,22 @@ def read_pages(spark: SparkSession, place: str) -> DataFrame:
     Lengths and digests of responses are those of the decoded payload; a revisit states its own.
     """
 
-    @F.pandas_udf("payload binary, digest string")
-    def decoded(kinds: pd.Series, blocks: pd.Series) -> pd.DataFrame:
-        payloads = [payload_of(bytes(b)) if k == "response" else None for k, b in zip(kinds, blocks, strict=True)]
-        return pd.DataFrame({"payload": payloads, "digest": [None if p is None else digest(p) for p in payloads]})
-
-    rows = reassemble(read_records(spark, place)).withColumn("decoded", decoded("type", "block"))
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "block", SLICE_BYTES):
+            payloads = [payload_of(b) if k == "response" else None for k, b in zip(*(batch.column(i).to_pylist() for i in (0, 5)), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:5], pa.array(payloads, pa.binary()), pa.array([None if p is None else digest(p) for p in payloads], pa.string())],
+                [*batch.schema.names[:5], "payload", "decoded_digest"],
+            )
+
+    kept = ["type", "page_id", "refers_to", "digest", "payload_length"]
+    both = "payload binary, decoded_digest string"
+    kinds = "type string, page_id long, refers_to long, digest string, payload_length long"
+    segmented = joined_segments(read_records(spark, place, True)).select(*kept, "block").mapInArrow(decoded, f"{kinds}, {both}")
+    single = read_records(spark, place, False).select(*kept, "payload", "decoded_digest")
+    rows = single.unionByName(segmented)
     return rows.select(
-        "page_id", F.col("type").alias("record_type"), "refers_to", F.col("decoded.payload").alias("payload"),
-        F.coalesce(F.octet_length("decoded.payload").cast("long"), F.col("payload_length")).alias("payload_bytes"),
-        F.coalesce(F.col("decoded.digest"), F.col("digest")).alias("payload_digest"),
+        "page_id", F.col("type").alias("record_type"), "refers_to", "payload",
+        F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_length")).alias("payload_bytes"),
+        F.coalesce("decoded_digest", "digest").alias("payload_digest"),
     )

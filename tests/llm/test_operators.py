@@ -423,3 +423,16 @@ def test_threads_of_odd_rows(spark):
             (None, 0, "assistant", "n", "n"), (2, 0, "a\nb", "", None)}
     assert {(r.conv_id, r.position, r.role, r.text, r.loss_text) for r in back} == want
     assert chat_trees.format_paths(chat_trees.linear_threads(rows.filter("false"))).count() == 0
+
+
+def test_pages_are_read_and_decoded_by_one_worker_a_task(spark, tmp_path):
+    rows = [(k, "u", "<p>" + "x" * (40 * k)) for k in range(60)] + [(60, "u", None), (61, "u", "<p>")]
+    place = str(tmp_path / "w")
+    warc.write_archives(warc.assign_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")), place, segment=1024)
+    got = warc.read_pages(spark, place)
+    # a Python step right above another would need two workers in each task
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+    assert {r.page_id: r.payload_bytes for r in got.collect()} == {k: len(h or "") for k, _, h in rows}
+    single, parts = (warc.read_records(spark, place, s) for s in (False, True))
+    assert single.filter("number is not null").count() == 0 < parts.count() == parts.filter("number is not null").count()
