@@ -52,21 +52,23 @@ def parse_index_ranges(spec: Column) -> Column:
 def expand_index_ranges(
     df: DataFrame, keys: Sequence[str], specs: dict[str, str]
 ) -> DataFrame:
-    """One row per ``(keys, index)``; of several labels the last in ``specs`` wins."""
+    """One row per ``(keys, index)``; of several labels the last in ``specs`` wins.
+
+    Specs are dealt by key before they grow to indexes, so that tasks share the work however few files hold them.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tagged = F.array(
         *(
-            F.struct(
-                F.lit(rank).alias("rank"),
-                F.lit(label).alias("label"),
-                parse_index_ranges(F.coalesce(F.col(c), F.lit(""))).alias("ids"),
-            )
-            for rank, (label, c) in enumerate(specs.items())
+            F.struct(F.lit(rank).alias("rank"), parse_index_ranges(F.coalesce(F.col(c), F.lit(""))).alias("ids"))
+            for rank, c in enumerate(specs.values())
         )
     )
-    rows = df.select(*keys, F.explode(tagged).alias("t")).select(
-        *keys, "t.rank", "t.label", F.explode("t.ids").alias("index")
+    rows = df.select(*keys, *specs.values()).repartition(parts, *keys).select(*keys, F.explode(tagged).alias("t")).select(
+        *keys, "t.rank", F.explode("t.ids").alias("index")
     )
-    return rows.groupBy(*keys, "index").agg(F.max_by("label", "rank").alias("label"))
+    last = rows.groupBy(*keys, "index").agg(F.max("rank").alias("rank"))
+    labels = F.array(*(F.lit(label) for label in specs))
+    return last.select(*keys, "index", F.get(labels, F.col("rank")).alias("label"))
 
 
 def select_by_names(records: DataFrame, names: DataFrame, key: str) -> DataFrame:
