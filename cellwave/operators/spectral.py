@@ -22,6 +22,9 @@ from cellwave.operators.axes import axis_lengths, pack_series, with_lengths
 from cellwave.operators.ordinal import with_halo
 from cellwave.operators.packed import with_statistics
 
+#: Series of declared sizes up to this meet all their lags as products in the JVM.
+SHORT_LAGS = 32
+
 
 def map_series(
     sig: Signal, axis: str, kernel: Callable, new_axis: str, real: bool = False, flags: dict[str, Column] | None = None
@@ -327,7 +330,7 @@ def autocorrelation(
     lag needs the whole series: one of up to ``chunk`` cells is packed, a longer
     one goes through the power spectrum of the zero-padded series. Declared
     sizes or ``long_series`` decide for all series at once; else each sample's
-    own length does.
+    own length does. Series declared as short (``SHORT_LAGS`` cells) never leave the JVM.
     """
     view = _real_view(sig, value)
     if max_lag is not None:
@@ -339,6 +342,8 @@ def autocorrelation(
         sums = _packed_lags(near, axis, 1 << 40, None).unionByName(_spectral_lags(far, axis))
     elif long_series or (long_series is None and known > chunk):
         sums = _spectral_lags(view, axis)
+    elif known is not None and known <= SHORT_LAGS:
+        sums = _direct_lags(view, axis)
     else:
         sums = _packed_lags(view, axis, 1 << 40, None)
     return _scaled_lags(view, axis, sums, normalized)
@@ -358,6 +363,20 @@ def _packed_lags(view: Signal, axis: str, size: int, max_lag: int | None) -> Dat
     return _exploded(done, view.keys(axis), "lag", True).groupBy(*view.keys(axis), "lag").agg(F.sum("value").alias("value"))
 
 
+def _direct_lags(view: Signal, axis: str) -> DataFrame:
+    """All lags of short series, product by product."""
+    rows = view.cells.groupBy(*view.keys(axis)).agg(F.array_sort(F.collect_list(F.struct(axis, "value"))).alias("_rows"))
+    v, n = F.col("_v"), F.size("_v")
+    zero = F.lit(0.0).cast("double")
+
+    def products(lag: Column) -> Column:
+        return F.zip_with(F.slice(v, F.lit(1), n - lag), F.slice(v, lag + 1, n - lag), lambda a, b: a * b)
+
+    sums = F.transform(F.sequence(F.lit(0), n - 1), lambda lag: F.aggregate(products(lag), zero, lambda total, x: total + x))
+    done = rows.select(*view.keys(axis), F.col("_rows.value").cast("array<double>").alias("_v"))
+    return _exploded(done.withColumn("_y", sums), view.keys(axis), "lag", True)
+
+
 def _spectral_lags(sig: Signal, axis: str) -> DataFrame:
     """All lags of real series from their power spectrum at twice the length."""
     rows = with_lengths(sig, axis)
