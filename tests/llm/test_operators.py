@@ -436,3 +436,19 @@ def test_pages_are_read_and_decoded_by_one_worker_a_task(spark, tmp_path):
     assert {r.page_id: r.payload_bytes for r in got.collect()} == {k: len(h or "") for k, _, h in rows}
     single, parts = (warc.read_records(spark, place, s) for s in (False, True))
     assert single.filter("number is not null").count() == 0 < parts.count() == parts.filter("number is not null").count()
+
+
+def test_counting_holds_little_text_at_once():
+    text = "some words " * 30000
+    batch = pa.RecordBatch.from_pydict({"text": [text] * 20 + [None]})
+    seen = []
+
+    def keys_of(tokens, starts):
+        seen.append(len(tokens))
+        return tokens.view(np.int64)
+
+    out = list(suffix_tree_lm.tallied(iter([batch]), keys_of))
+    # 60000 words and an end each; three texts of 330 kB make a slice of 1 MB
+    assert max(seen) <= 3 * 60001 + 1 and sum(seen) == 20 * 60001 + 1
+    counts = dict(zip(*(np.concatenate([b.column(k).to_numpy() for b in out]).tolist() for k in (0, 1)), strict=True))
+    assert sorted(counts.values()) == [21, 600000, 600000]
