@@ -102,8 +102,11 @@ class Encoder:
         return int(np.frombuffer(self.marks.setdefault("\n", self._each(["\n"])[0]), "<u4")[0])
 
     def _fresh(self, missing: set[str]) -> dict[str, bytes]:
-        known, stems, odd = self.words, {}, []
+        known, stems, odd, fresh = self.words, {}, [], set()
         for w in missing:
+            if w.isalpha():  # the common case, and its own stem
+                fresh.add(w)
+                continue
             stem = w[1:] if w[:1] == "\0" else w
             mark = stem[-1:] if stem[-1:] in self.marks and stem else ""
             stem = stem[: len(stem) - len(mark)]
@@ -111,9 +114,9 @@ class Encoder:
                 stems[w] = (w[: len(w) - len(mark)], mark)
             else:
                 odd.append(w)
-        wanted = list({s for s, _ in stems.values()}.difference(known))
-        first = [w for w in wanted if w[:1] == "\0"]
-        plain = [w for w in wanted if w[:1] != "\0"]
+        fresh.update({s for s, _ in stems.values()}.difference(known))
+        first = [w for w in fresh if w[:1] == "\0"] if self.led else []
+        plain = [w for w in fresh if w[:1] != "\0"] if first else list(fresh)
         ids = dict(zip(plain, self._letters(plain, " "), strict=True))
         ids.update(zip(first, self._letters([w[1:] for w in first], "\n"), strict=True))
         lead = " " if self.led else ""

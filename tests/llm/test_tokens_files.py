@@ -142,3 +142,16 @@ def test_query_digests(spark):
         ids = ids_of(texts[p.doc_id], tokens.BYTE_BPE)
         assert p.doc_tokens == len(ids)
         assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
+
+
+def test_words_of_letters_are_not_taken_apart():
+    from cellwave.llm import tokens
+
+    class Whole(str):
+        def __getitem__(self, at):
+            raise AssertionError("a word of letters was cut")
+
+    tool = tokens.Encoder(tokens.WORD_BPE)
+    words = [Whole(w) for w in ("plain", "Größe", "zyx")]
+    assert tool._fresh(set(words)) == dict(zip(words, tool._each([str(w) for w in words]), strict=True))
+    assert set(tool._fresh({"plain.", "a1", "zyx"})) == {"plain.", "plain", "a1", "zyx"}
