@@ -155,3 +155,24 @@ def test_words_of_letters_are_not_taken_apart():
     words = [Whole(w) for w in ("plain", "Größe", "zyx")]
     assert tool._fresh(set(words)) == dict(zip(words, tool._each([str(w) for w in words]), strict=True))
     assert set(tool._fresh({"plain.", "a1", "zyx"})) == {"plain.", "plain", "a1", "zyx"}
+
+
+def test_ascii_words_go_to_the_model_alone(monkeypatch):
+    tool = tokens.Encoder(tokens.WORD_BPE)
+    words = ["plain", "Words", "ZYX", "a", "unbelievably", "q" * 300]
+    want = tool._each(words)
+    monkeypatch.setattr(tool, "_letters", lambda words, by: [b"?"] * len(words))
+    assert tool.encode(words) == want and tool.encode([" ".join(words)]) == [b"".join(want)]
+
+
+def test_words_are_looked_up_once(monkeypatch):
+    tool = tokens.Encoder(tokens.WORD_BPE)
+    asked = []
+    monkeypatch.setattr(tool, "_fresh", lambda missing, own=tool._fresh: asked.append(set(missing)) or own(missing))
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 2)
+    long = "long" * 20
+    want = [np.array(tool.tool.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in (f"one two {long}", f"two three. {long}")]
+    for _ in range(2):
+        assert tool.encode([f"one two {long}", f"two three. {long}"]) == want
+        assert len(tool.words) <= 2 and long not in tool.words
+    assert len(asked) == 2 and long in asked[1] and len(asked[1]) < len(asked[0])
