@@ -290,7 +290,7 @@ def _(t):
     return out.withColumn("timestamp_start", F.round("timestamp_start", 9))
 
 
-@query("capture_problems", """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 5 = 1 THEN 'too_short' WHEN doc_id % 5 = 2 THEN 'bad_code'
+@query("capture_problems", """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 5 = 1 OR octet_length(encode(text)) < 3 THEN 'too_short' WHEN doc_id % 5 = 2 THEN 'bad_code'
  WHEN octet_length(encode(text)) - 3 < 300 - 1 THEN 'incomplete_packet' END AS reason FROM documents""")
 def _(t):
     kind = F.col("doc_id") % 5

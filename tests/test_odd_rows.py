@@ -23,6 +23,15 @@ def test_captures_without_text_or_id_and_repeated_ids(spark, tmp_path):
     assert (count, problems) == (len(rows), [])
 
 
+def test_captures_below_a_header_are_too_short(spark, tmp_path):
+    rows = [(k, text) for k, text in enumerate(["", "A.", "abc", "é", "x" * 301, "x" * 302, "é" * 151] * 5)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    count, problems = agrees(spark, tmp_path, "capture_problems", "documents")
+    assert (count, problems) == (len(rows), [])
+    got = {r.doc_id: r.reason for r in all_queries()["capture_problems"](spark, str(tmp_path)).collect()}
+    assert all(got[k] == ("too_short" if k % 5 else "missing") for k, text in rows if len(text.encode()) < 3)
+
+
 def test_listed_capture_of_unknown_length_is_not_missing(spark):
     listing = spark.createDataFrame([("a", None, bytes.fromhex("012CBB"))], "path string, length long, head binary")
     manifest = spark.createDataFrame([("a",), ("b",)], "path string")
